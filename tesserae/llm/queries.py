@@ -1,10 +1,12 @@
-"""Queries opN_<name> of the ten operators and the pipeline, and their SQL where SQL can express them."""
+"""Queries opN_<name> of the ten operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from .media import op1_media
 from .mixing import OP6_SQL, op6_mix
 from .preference import OP7_SQL, op7_preferences
+from .quality import op5_quality
 from .url_filter import OP9_SQL, op9_urls
 
-QUERIES = {"op6_mix": op6_mix, "op7_preferences": op7_preferences, "op9_urls": op9_urls}
+QUERIES = {"op1_media": op1_media, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_preferences": op7_preferences, "op9_urls": op9_urls}
 ORACLES = {"op6_mix": OP6_SQL, "op7_preferences": OP7_SQL, "op9_urls": OP9_SQL}
