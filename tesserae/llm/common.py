@@ -59,17 +59,18 @@ def has_plain_ids(df: DataFrame, id_col: str) -> bool:
     return odd.isEmpty()
 
 
-def with_row_ids(df: DataFrame, id_col: str, text_col: str, out: str = "_rid") -> DataFrame:
-    """Columns (out, id, text) with a long in `out` that tells rows apart and sorts as (id, nulls last, then text).
+def with_row_ids(df: DataFrame, id_col: str, text_col: str, out: str = "_rid") -> tuple[DataFrame, bool]:
+    """Columns (out, _id, _text) with a long in `out` that tells rows apart and sorts as (id, nulls last, then text);
+    and whether `out` is the id itself.
 
     Unique non-null whole-number ids are used as they are. Otherwise rows are sorted over all partitions and
     numbered; identical rows get neighbouring numbers.
     """
     df = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if has_plain_ids(df, "_id"):
-        return df.select(F.col("_id").cast("long").alias(out), "_id", "_text")
+        return df.select(F.col("_id").cast("long").alias(out), "_id", "_text"), True
     spark = df.sparkSession
     ordered = df.sort(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first())
     numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
     schema = f"{out} long, _id {df.schema['_id'].dataType.simpleString()}, _text string"
-    return checkpointed(spark.createDataFrame(numbered, schema))
+    return checkpointed(spark.createDataFrame(numbered, schema)), False

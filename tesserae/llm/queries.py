@@ -6,7 +6,8 @@ from .media import op1_media
 from .mixing import OP6_SQL, op6_mix
 from .preference import OP7_SQL, op7_preferences
 from .quality import op5_quality
+from .simhash import op10_simhash
 from .url_filter import OP9_SQL, op9_urls
 
-QUERIES = {"op1_media": op1_media, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_preferences": op7_preferences, "op9_urls": op9_urls}
+QUERIES = {"op1_media": op1_media, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_preferences": op7_preferences, "op9_urls": op9_urls, "op10_simhash": op10_simhash}
 ORACLES = {"op6_mix": OP6_SQL, "op7_preferences": OP7_SQL, "op9_urls": OP9_SQL}
