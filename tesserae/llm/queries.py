@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_neighbours
 from .media import op1_media
 from .mixing import OP6_SQL, op6_mix
 from .packing import op2_packing
@@ -12,5 +13,5 @@ from .substring_dedup import op8_substrings
 from .suffix_dedup import op4_suffixes
 from .url_filter import OP9_SQL, op9_urls
 
-QUERIES = {"op1_media": op1_media, "op2_packing": op2_packing, "op4_suffixes": op4_suffixes, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_preferences": op7_preferences, "op8_substrings": op8_substrings, "op9_urls": op9_urls, "op10_simhash": op10_simhash}
+QUERIES = {"op1_media": op1_media, "op2_packing": op2_packing, "op3_neighbours": op3_neighbours, "op4_suffixes": op4_suffixes, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_preferences": op7_preferences, "op8_substrings": op8_substrings, "op9_urls": op9_urls, "op10_simhash": op10_simhash}
 ORACLES = {"op6_mix": OP6_SQL, "op7_preferences": OP7_SQL, "op9_urls": OP9_SQL}
