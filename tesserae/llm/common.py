@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word separators: space and U+0009 to U+000D, in Java and RE2 syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,18 +60,19 @@ def has_plain_ids(df: DataFrame, id_col: str) -> bool:
     return odd.isEmpty()
 
 
-def with_row_ids(df: DataFrame, id_col: str, text_col: str, out: str = "_rid") -> tuple[DataFrame, bool]:
-    """Columns (out, _id, _text) with a long in `out` that tells rows apart and sorts as (id, nulls last, then text);
-    and whether `out` is the id itself.
+def with_row_ids(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """Columns (_rid, _id, _text, *carry) with a long _rid, never null, that tells rows apart and sorts as (id, nulls
+    last, then text); and whether _rid is the id itself.
 
     Unique non-null whole-number ids are used as they are. Otherwise rows are sorted over all partitions and
-    numbered; identical rows get neighbouring numbers.
+    numbered; identical rows get neighbouring numbers. The carried columns come as one struct column _carry.
     """
-    df = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    extra = [F.struct(*[F.col(c) for c in carry]).alias("_carry")] if carry else []
+    df = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *extra)
     if has_plain_ids(df, "_id"):
-        return df.select(F.col("_id").cast("long").alias(out), "_id", "_text"), True
-    spark = df.sparkSession
+        rid = F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_rid")  # so that Spark knows it is never null
+        return df.select(rid, *df.columns), True
     ordered = df.sort(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first())
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    schema = f"{out} long, _id {df.schema['_id'].dataType.simpleString()}, _text string"
-    return checkpointed(spark.createDataFrame(numbered, schema)), False
+    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    schema = T.StructType([T.StructField("_rid", T.LongType(), False), *df.schema.fields])
+    return checkpointed(df.sparkSession.createDataFrame(numbered, schema)), False

@@ -155,10 +155,10 @@ def _pieces(kind, rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield batch
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterable[pa.RecordBatch], columns: int = 5) -> Iterator[tuple]:
     for b in batches:
         for i in range(b.num_rows):
-            yield tuple(c[i].as_py() for c in b.columns)
+            yield tuple(c[i].as_py() for c in b.columns[:columns])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -201,7 +201,7 @@ def send_anchors(kind, buckets: int) -> Callable:
 
     def run(batches):
         hs, rids, size = [], [], 0
-        for batch in _pieces(kind, _rows(batches)):
+        for batch in _pieces(kind, _rows(batches, 2)):
             text, _, _, h = anchor_runs(kind, [p[3] for p in batch])
             hs.append(h)
             rids.append(np.array([p[0][0] for p in batch])[text])
@@ -302,7 +302,7 @@ def send_segments(kind, buckets: int, across_rows: bool) -> Callable:
 
     def run(batches):
         parts, size = [], 0
-        for batch in _pieces(kind, _rows(batches)):
+        for batch in _pieces(kind, _rows(batches, 3)):
             text, first, last, h = anchor_runs(kind, [p[3] for p in batch])
             wanted = np.unique(np.concatenate([np.array(p[0][2], "i8") for p in batch])).astype("u8")
             hit = np.flatnonzero(np.isin(h & _LOW48, wanted))
@@ -369,24 +369,26 @@ def match_segments(kind, across_rows: bool, earlier: Callable) -> Callable:
 
 
 def repeat_spans(rows: DataFrame, kind, across_rows: bool, earlier: Callable) -> DataFrame:
-    """(_rid, _id, _text, copy, spans) for rows (_rid, _id, _text) with unique _rid.
+    """Columns copy and spans added to rows (_rid, _text, ...) with unique _rid.
 
     spans: array of (first, many), runs of windows that also start earlier, in no order, or null. copy: the text is
     that of a row before, whose windows are all repeats; it has no spans.
     """
     n = partitions(rows.sparkSession)
     buckets = 4 * n
+    # All three uses take the same columns of the same exchange, so that Spark runs it once.
     texts = rows.repartition(n, "_rid")
+    rest = [c for c in rows.columns if c not in ("_rid", "_text")]
     firsts = rows.groupBy(F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256).alias("_sha")).agg(F.min("_rid").alias("_rid")).select("_rid").withColumn("_first", F.lit(True))
-    heads = texts.join(firsts, "_rid").select("_rid", "_text")
+    heads = texts.join(firsts, "_rid").select("_rid", "_text", *rest)
     asked = heads.mapInArrow(send_anchors(kind, buckets), ANCHOR_ROWS).repartition(n, "bucket")
     twice = asked.mapInArrow(match_anchors, "_rid long, gram long").groupBy("_rid").agg(F.collect_set("gram").alias("_grams"))
-    shown = texts.join(twice, "_rid").select("_rid", "_text", "_grams")
+    shown = texts.join(twice, "_rid").select("_rid", "_text", "_grams", *rest)
     sent = shown.mapInArrow(send_segments(kind, buckets, across_rows), SEGMENT_ROWS).repartition(n, "bucket")
     spans = sent.mapInArrow(match_segments(kind, across_rows, earlier), "_rid long, first long, many long")
     spans = spans.groupBy("_rid").agg(F.collect_list(F.struct("first", "many")).alias("spans"))
     marked = texts.join(firsts, "_rid", "left").join(spans, "_rid", "left")
-    return marked.select("_rid", "_id", "_text", F.col("_first").isNull().alias("copy"), "spans")
+    return marked.select(*rows.columns, F.col("_first").isNull().alias("copy"), "spans")
 
 
 def covered(n: int, spans: list[dict] | None, window: int) -> tuple[np.ndarray, np.ndarray]:

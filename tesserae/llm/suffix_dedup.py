@@ -130,19 +130,34 @@ def earlier_windows(block: Segments, window: int = Bytes.window):
     return owner[at], place[at], first[label] != np.arange(len(at))
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, spans, kept) of every row: bytes covered by a 100-byte string of one row
-    that also starts earlier, in a row with a smaller id or at an earlier place, are removed.
-
-    spans: the removed runs as array of (begin, end) byte offsets; kept: the other bytes, joined. Strings are
+def without(raw: bytes, runs: list[tuple[int, int]]) -> str:
+    """The UTF-8 text without the runs of bytes, each shrunk to whole characters."""
+    out, at = [], 0
+    for a, z in runs:
+        while a < z and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while z > a and z < len(raw) and raw[z] & 0xC0 == 0x80:
+            z -= 1
+        out.append(raw[at:a])
+        at = z
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, spans, kept, text[, carried columns]) of every row: bytes covered by a 100-byte
+    string of one row that also starts earlier, in a row with a smaller id or at an earlier place, are removed.
+
+    spans: the removed runs as array of (begin, end) byte offsets; kept: the other bytes, joined; text: the same, but characters cut by the ends of a run stay. Strings are
     judged on the input. Null texts are empty; texts under 100 bytes stay as they are; very long texts are worked
     on in overlapping pieces. Rows go by (id, nulls last, then text), so of repeated rows the first stays. An empty
-    table gives an empty result; other columns are left out.
+    table gives an empty result; columns other than those to carry are left out.
     """
-    rows, _ = with_row_ids(df, id_col, text_col)
+    rows, _ = with_row_ids(df, id_col, text_col, carry)
     marked = repeat_spans(rows, Bytes(), False, earlier_windows)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary"
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary, text string"
+    extra = ["_carry"] if carry else []
+    schema += f", _carry {rows.schema['_carry'].dataType.simpleString()}" if carry else ""
 
     def run(batches):
         for b in batches:
@@ -155,15 +170,30 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     begin, end = covered(n, spans, Bytes.window)
                 kept = b"".join(raw[a:z] for a, z in zip([0, *end.tolist()], [*begin.tolist(), n], strict=True))
-                out.append((n, n - len(kept), len(begin), [{"begin": a, "end": z} for a, z in zip(begin.tolist(), end.tolist(), strict=True)], kept))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *[pa.array(c, t) for c, t in zip(columns, target.types[1:], strict=True)]], schema=target)
+                runs = list(zip(begin.tolist(), end.tolist(), strict=True))
+                out.append((n, n - len(kept), len(begin), [{"begin": a, "end": z} for a, z in runs], kept, without(raw, runs)))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *[pa.array(c, t) for c, t in zip(columns, target.types[1:7], strict=True)], *[b.column(c) for c in extra]], schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return marked.select("_id", "_text", "copy", "spans").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    out = marked.select("_id", "_text", "copy", "spans", *extra).mapInArrow(run, schema)
+    own = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "text"]
+    carried = [F.col("_carry")[c].alias(c) for c in carry]
+    return out.select(F.col("id").alias(id_col), *own, *carried)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with repeats of 100 bytes and more cut from the text, and its other columns as they were.
+
+    Characters that a run cuts stay. A null text stays null; a text that repeats wholly is empty, its row stays.
+    """
+    rest = tuple(c for c in df.columns if c not in (id_col, text_col))
+    out = dedup_substrings(df.withColumn("_null", F.col(text_col).isNull()), id_col, text_col, (*rest, "_null"))
+    text = F.when(~F.col("_null"), F.col("text"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 def op4_suffixes(spark, sf_dir):
