@@ -17,7 +17,7 @@ HASH_BITS, LEVEL_BITS = 60, 12
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """(skey, source_size, target) for a table (skey, source, source_size) with a row for each source.
+    """(_skey, source_size, target) for a table (_skey, source, source_size) with a row for each source.
 
     Sources in code point order, null last, weigh `weights` in turn and share the whole size; a target stops at
     max_repeats times its source's size and the rest is shared again by weight. That ends at
@@ -33,60 +33,76 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     level = (F.sum("source_size").over(one) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     w = w.withColumn("level", level)
     w = w.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(one)["level"])
-    return w.select("skey", "source_size", F.least("cap", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
+    return w.select("_skey", "source_size", F.least("cap", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """(id, size, source_size, target, taken, repeats): how many times each row is taken.
+def _row_columns(id_col: str, source_col: str, text_col: str) -> dict:
+    """What a row contributes, by name: its source's key (never null), size and hash."""
+    source = F.col(source_col).cast("string")
+    key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    size = n_words(F.col(text_col))
+    seed = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), key, size.cast("string"))
+    return {"_skey": key, "_size": size, "_h": F.conv(F.substring(F.md5(seed), 1, HASH_BITS // 4), 16, 10).cast("long")}
 
-    A row is taken floor(target / source_size) times, and once more if its hash is below its source's threshold.
-    The hash is of id, source and size, so reruns agree. The boundary row is taken if that brings the sum nearer.
-    Null text and text without words have size 0 and are taken 0 words; a null source is a source of its own,
-    last; null ids and repeated rows are rows like others, of which equal ones share a hash and so a decision;
-    an empty table gives an empty result. Other columns, whatever their names, are left out.
-    """
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    seed = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), key, F.col("size").cast("string"))
-    rows = checkpointed(rows.select("id", key.alias("skey"), "source", "size", F.conv(F.substring(F.md5(seed), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h")))
 
-    sizes = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+def thresholds(rows: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+    """(_skey, source_size, target, whole, threshold) for rows (_skey, _size, _h, source): a row is taken `whole`
+    times, and once more if its hash is below the threshold."""
+    sizes = rows.groupBy("_skey").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"))
     plan = targets(sizes, weights, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("whole", whole.cast("long"))
-    plan = checkpointed(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")).withColumn("low", F.lit(0).cast("long")))
+    plan = checkpointed(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
 
     # Level by level: the bucket in which a source's budget runs out, then that bucket alone.
-    inside, shift = rows.select("skey", "size", "h"), HASH_BITS
-    steps = plan.select("skey", "prefix", "rest")
+    inside, shift = rows.select("_skey", "_size", "_h"), HASH_BITS
+    steps = plan.select("_skey", "rest")
     while shift > 0:
         shift -= LEVEL_BITS
-        bucket = F.shiftright("h", shift)
-        sums = inside.groupBy("skey", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("least"), F.max("h").alias("most"))
-        sums = join_small(sums, steps.select("skey", "rest"), "skey", F.col("bucket"), "inner")
-        upto = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        bucket = F.shiftright("_h", shift)
+        sums = inside.groupBy("_skey", bucket.alias("bucket")).agg(F.sum("_size").alias("size"), F.min("_h").alias("least"), F.max("_h").alias("most"))
+        sums = join_small(sums, steps.select("_skey", "rest"), "_skey", F.col("bucket"), "inner")
+        upto = Window.partitionBy("_skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("cum", F.sum("size").over(upto)).filter(F.col("cum") > F.col("rest"))
         edge = F.min(F.struct("bucket", "cum", "size", "least", "most", "rest"))
-        steps = sums.groupBy("skey").agg(edge.alias("e")).select("skey", F.col("e.bucket").alias("prefix"), (F.col("e.rest") - F.col("e.cum") + F.col("e.size")).alias("rest"), "e.size", "e.least", "e.most")
+        steps = sums.groupBy("_skey").agg(edge.alias("e")).select("_skey", F.col("e.bucket").alias("prefix"), (F.col("e.rest") - F.col("e.cum") + F.col("e.size")).alias("rest"), "e.size", "e.least", "e.most")
         steps = checkpointed(steps)
         if shift == 0 or steps.filter("least < most").isEmpty():
             break
-        inside = join_small(inside, steps.select("skey", "prefix"), "skey", F.col("h"), "inner").filter(bucket == F.col("prefix")).drop("prefix")
+        inside = join_small(inside, steps.select("_skey", "prefix"), "_skey", F.col("_h"), "inner").filter(bucket == F.col("prefix")).drop("prefix")
     # The boundary bucket now holds one hash: rows below it are taken, its own if that comes nearer.
     nearer = F.col("size") - F.col("rest") < F.col("rest")
-    edges = steps.select("skey", (F.col("least") + nearer.cast("long")).alias("threshold"))
-    plan = plan.select("skey", "source_size", "target", "whole").join(edges, "skey", "left")
-    out = join_small(rows.select("id", "skey", "size", "h"), plan, "skey", F.col("h"), "inner")
-    repeats = (F.col("whole") + F.coalesce((F.col("h") < F.col("threshold")).cast("long"), F.lit(0))).alias("repeats")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", repeats).withColumn("taken", F.col("size") * F.col("repeats"))
-
-
-def apply_mix(df: DataFrame, **options) -> DataFrame:
-    """The rows of df as often as the mix takes them, with df's columns; a copy keeps its id."""
-    id_col = options.get("id_col", "doc_id")
-    mixed = mix_sources(df, **options).select(F.col(id_col).alias("_id"), "repeats").filter("repeats > 0").distinct()
-    joined = df.join(mixed, df[id_col].eqNullSafe(mixed["_id"]), "inner")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*df.columns)
+    edges = steps.select("_skey", (F.col("least") + nearer.cast("long")).alias("threshold"))
+    return checkpointed(plan.select("_skey", "source_size", "target", "whole").join(edges, "_skey", "left"))
+
+
+def _repeats():
+    return F.col("whole") + F.coalesce((F.col("_h") < F.col("threshold")).cast("long"), F.lit(0))
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """(id, size, source_size, target, repeats, taken): how many times each row is taken.
+
+    A row is taken floor(target / source_size) times, and once more if its hash is below its source's threshold.
+    The hash is of id, source and size, so reruns agree. The boundary row is taken if that brings the sum nearer.
+    Null text and text without words have size 0 and are taken 0 words; a null source is a source of its own,
+    last; null ids and repeated rows are rows like others, of which equal ones share a hash and so a decision;
+    an empty table gives an empty result. Other columns, whatever their names, are left out.
+    """
+    own = [c.alias(k) for k, c in _row_columns(id_col, source_col, text_col).items()]
+    rows = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *own))
+    out = join_small(rows, thresholds(rows, weights, max_repeats), "_skey", F.col("_h"), "inner")
+    out = out.withColumn("repeats", _repeats())
+    return out.select(F.col("id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "repeats", (F.col("_size") * F.col("repeats")).alias("taken"))
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """The rows of df as often as mix_sources() takes them, with df's columns; copies keep their id."""
+    marked = df.withColumns(_row_columns(id_col, source_col, text_col))
+    rows = checkpointed(marked.select("_skey", "_size", "_h", F.col(source_col).cast("string").alias("source")))
+    plan = thresholds(rows, weights, max_repeats).select("_skey", "whole", "threshold")
+    out = join_small(marked, plan, "_skey", F.col("_h"), "inner").withColumn("_n", _repeats().cast("int")).filter("_n > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
 
 
 def op6_mix(spark, sf_dir):

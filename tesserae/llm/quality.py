@@ -138,6 +138,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores the threshold or more, with all their columns."""
+    names = docs.columns
+
+    def run(batches):
+        f = Featurizer()
+        for b in batches:
+            keep = []
+            for t in b.column(names.index(text_col)).to_pylist():
+                dot = sum(float(model[0][k].mean(dtype="f8")) for k in f.kinds(t)) + model[1]
+                keep.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))) >= threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark, sf_dir):
     from .common import documents
 
