@@ -1,4 +1,9 @@
 """Registered queries of the reference's operators and the SQL that they are compared with."""
 
+from tesserae.plans import q_relational
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (q_relational,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
