@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Symbols that are worked on at a time, at least one text.
-BATCH = 1 << 21
+BATCH = 1 << 19
 #: Texts longer than this many symbols are cut into overlapping pieces.
 PIECE = 1 << 26
 #: Anchors or bytes of segments that a task gathers before it sends them.
-FLUSH_ANCHORS, FLUSH_BYTES = 1 << 21, 1 << 26
+FLUSH_ANCHORS, FLUSH_BYTES = 1 << 20, 1 << 24
 #: Windows that a bucket's task sorts at a time, at least those of one gram.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Words whose hash a worker remembers.
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
