@@ -11,6 +11,10 @@ number tells a piece its sequence and offset.
 from __future__ import annotations
 
 import bisect
+import os
+import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,31 +29,55 @@ CAPACITY, END = 2048, 0
 #: Pairs of patterns that the search looks at, at most; it bounds the driver's time, never what is packed.
 MAX_LOOKS = 100_000
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 800_000
 
 
-def tokenize(tokenizer_file: str):
-    """A function from a list of texts to their arrays of ids; words between white space are encoded once."""
-    import os
+#: A run of marks after a letter at the end of a word: it is a token run of its own.
+_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([^\s\w]+)(?=\s|$)")
+#: Byte-level form of a byte: itself if printable, else the next free character from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _WordIds(dict):
+    """Ids of a word as bytes, found once. A word of letters, in lower case and composed, is one pre-token, which the
+    model's merges take as it is; any other goes through the whole tokenizer."""
+
+    def __init__(self, encoder):
+        super().__init__()
+        self.encode, self.merge = encoder.encode, encoder.model.tokenize
 
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and word == word.lower() and "ς" not in word:
+            level = word if word.isascii() else word.encode().decode("latin-1").translate(_LEVEL)
+            ids = [t.id for t in self.merge(level)]
+        else:
+            ids = self.encode(word, add_special_tokens=False).ids
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+def tokenize(tokenizer_file: str):
+    """A function from a text to its ids as little-endian bytes. No token spans white space, which this tokenizer
+    drops, so words are encoded once and remembered for as long as the worker lives."""
     import public_tokenizers
-    from tokenizers import Tokenizer
+    import tokenizers
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     path = tokenizer_file if os.path.exists(tokenizer_file) else public_tokenizers.path(tokenizer_file)
-    encoder, cache = Tokenizer.from_file(path), {}
+    known = vars(tokenizers).setdefault("_word_ids", {})
+    if path not in known:
+        known[path] = _WordIds(tokenizers.Tokenizer.from_file(path))
+    cache = known[path]
 
-    def run(texts: list[str | None]) -> list[np.ndarray]:
-        # No token of this tokenizer spans white space, which it drops.
-        split = [(t or "").split() for t in texts]
+    def run(text: str | None) -> bytes:
+        text = text or ""
         if len(cache) > CACHE:
             cache.clear()
-        new = list({w for ws in split for w in ws}.difference(cache))
-        for i in range(0, len(new), 1 << 14):
-            part = new[i : i + (1 << 14)]
-            for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in ws]), "<u4") for ws in split]
+        if "<|" in text or not unicodedata.is_normalized("NFC", text):
+            return b"".join([struct.pack(f"<{len(i)}I", *i) for i in (cache.encode(w, add_special_tokens=False).ids for w in text.split())])
+        if "Σ" not in text:  # its lower case depends on its place
+            text = _MARKS.sub(r" \1", text.lower())
+        return b"".join([cache[w] for w in text.split()])
 
     return run
 
@@ -60,11 +88,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_file: str, capac
     def run(batches):
         encode = tokenize(tokenizer_file)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
+            for at in range(0, b.num_rows, 64):
                 keys, rows = [], []
-                for i, ids in enumerate(encode(texts[at : at + 64]), at):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                for i, text in enumerate(b.column(1).slice(at, 64).to_pylist(), at):
+                    ids = np.frombuffer(encode(text) + struct.pack("<I", end), "<u4")
                     for k, begin in enumerate(range(0, len(ids), capacity)):
                         part = ids[begin : begin + capacity]
                         keys.append(i)
