@@ -24,8 +24,8 @@ SAMPLE = 8192
 ROTATIONS = 2
 #: The probing radius is the least for which sampled queries find this share of their true neighbours.
 RECALL = 0.98
-#: Rows of a block at most.
-BLOCK = 1 << 16
+#: Rows of a block at most, and at least where there are fewer partitions than that makes blocks.
+BLOCK, LEAST = 1 << 16, 1 << 10
 
 
 def usable(vector) -> F.Column:
@@ -140,7 +140,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
 
     equal = Window.partitionBy("v").orderBy("id")
     index = rows.withColumn("i", F.row_number().over(equal)).filter(F.col("i") <= k + 1)
-    blocks = max(-(-total // BLOCK), min(partitions(df.sparkSession), -(-total // 32)))
+    blocks = max(-(-total // BLOCK), min(partitions(df.sparkSession), -(-total // LEAST)))
     index = index.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
     spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
 
