@@ -7,7 +7,7 @@ until it holds a single hash. The sums are a few thousand rows a source whatever
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, join_small, n_words
@@ -76,8 +76,8 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...], max_repeats: int) -> D
     return checkpointed(plan.select("_skey", "source_size", "target", "whole").join(edges, "_skey", "left"))
 
 
-def _repeats():
-    return F.col("whole") + F.coalesce((F.col("_h") < F.col("threshold")).cast("long"), F.lit(0))
+def _repeats(whole: Column, threshold: Column) -> Column:
+    return whole + F.coalesce((F.col("_h") < threshold).cast("long"), F.lit(0))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -92,7 +92,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     own = [c.alias(k) for k, c in _row_columns(id_col, source_col, text_col).items()]
     rows = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *own))
     out = join_small(rows, thresholds(rows, weights, max_repeats), "_skey", F.col("_h"), "inner")
-    out = out.withColumn("repeats", _repeats())
+    out = out.withColumn("repeats", _repeats(F.col("whole"), F.col("threshold")))
     return out.select(F.col("id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "repeats", (F.col("_size") * F.col("repeats")).alias("taken"))
 
 
@@ -100,8 +100,9 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """The rows of df as often as mix_sources() takes them, with df's columns; copies keep their id."""
     marked = df.withColumns(_row_columns(id_col, source_col, text_col))
     rows = checkpointed(marked.select("_skey", "_size", "_h", F.col(source_col).cast("string").alias("source")))
-    plan = thresholds(rows, weights, max_repeats).select("_skey", "whole", "threshold")
-    out = join_small(marked, plan, "_skey", F.col("_h"), "inner").withColumn("_n", _repeats().cast("int")).filter("_n > 0")
+    plan = thresholds(rows, weights, max_repeats).select("_skey", F.struct("whole", "threshold").alias("_plan"))
+    out = join_small(marked, plan, "_skey", F.col("_h"), "inner")
+    out = out.withColumn("_n", _repeats(F.col("_plan")["whole"], F.col("_plan")["threshold"]).cast("int")).filter("_n > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
 
 

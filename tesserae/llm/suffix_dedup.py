@@ -144,13 +144,13 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> str:
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, spans, kept, text[, carried columns]) of every row: bytes covered by a 100-byte
+    """(id, n_bytes, n_removed, n_spans, spans, kept, text[, _carry]) of every row: bytes covered by a 100-byte
     string of one row that also starts earlier, in a row with a smaller id or at an earlier place, are removed.
 
     spans: the removed runs as array of (begin, end) byte offsets; kept: the other bytes, joined; text: the same, but characters cut by the ends of a run stay. Strings are
     judged on the input. Null texts are empty; texts under 100 bytes stay as they are; very long texts are worked
     on in overlapping pieces. Rows go by (id, nulls last, then text), so of repeated rows the first stays. An empty
-    table gives an empty result; columns other than those to carry are left out.
+    table gives an empty result; columns other than those to carry, which come as one struct _carry, are left out.
     """
     rows, _ = with_row_ids(df, id_col, text_col, carry)
     marked = repeat_spans(rows, Bytes(), False, earlier_windows)
@@ -180,9 +180,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     target = to_arrow_schema(StructType.fromDDL(schema))
     out = marked.select("_id", "_text", "copy", "spans", *extra).mapInArrow(run, schema)
-    own = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "text"]
-    carried = [F.col("_carry")[c].alias(c) for c in carry]
-    return out.select(F.col("id").alias(id_col), *own, *carried)
+    return out.withColumnRenamed("id", id_col)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,9 +189,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Characters that a run cuts stay. A null text stays null; a text that repeats wholly is empty, its row stays.
     """
     rest = tuple(c for c in df.columns if c not in (id_col, text_col))
-    out = dedup_substrings(df.withColumn("_null", F.col(text_col).isNull()), id_col, text_col, (*rest, "_null"))
-    text = F.when(~F.col("_null"), F.col("text"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    out = dedup_substrings(df.withColumn("_null_text", F.col(text_col).isNull()), id_col, text_col, (*rest, "_null_text"))
+    named = {id_col: F.col(id_col), text_col: F.when(~F.col("_carry")["_null_text"], F.col("text"))} | {c: F.col("_carry")[c] for c in rest}
+    return out.select(*[named[c].alias(c) for c in df.columns])
 
 
 def op4_suffixes(spark, sf_dir):
