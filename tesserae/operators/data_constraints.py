@@ -125,11 +125,12 @@ def column_types(df: DataFrame, config: Config) -> DataFrame:
     return x.select("column", kind.alias("kind"), (F.col("named") | (F.col("distinct") / F.col("n") >= config.id_unique_frac)).alias("id_like"), "distinct", "n")
 
 
-def domain_of_categories(df: DataFrame, a: str, b: str, config: Config) -> DataFrame:
-    """b = value => a IN allowed: (value, support, allowed) for values of b with enough rows and few enough values of a."""
+def domain_of_categories(df: DataFrame, a: str, b: str, config: Config, with_null: bool = False) -> DataFrame:
+    """b = value => a IN allowed: (value, support, allowed[, or_null]) for values of b with enough rows and few enough
+    values of a; or_null tells whether null is one of them."""
     per = df.groupBy(F.col(b).alias("value"), F.col(a).alias("item")).agg(F.count(F.lit(1)).alias("n"))
-    out = per.groupBy("value").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("many"), F.sort_array(F.collect_list("item")).alias("allowed"))
-    return out.filter((F.col("support") >= config.min_group_support) & (F.col("many") <= config.max_allowed_set)).select("value", "support", "allowed")
+    out = per.groupBy("value").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("many"), F.sort_array(F.collect_list("item")).alias("allowed"), F.bool_or(F.col("item").isNull()).alias("or_null"))
+    return out.filter((F.col("support") >= config.min_group_support) & (F.col("many") <= config.max_allowed_set)).select("value", "support", "allowed", *["or_null"] * with_null)
 
 
 def domain_of_range(df: DataFrame, a: str, b: str, config: Config) -> DataFrame:
@@ -164,12 +165,12 @@ def domain_atoms(df: DataFrame, fds: list[Dependency], config: Config) -> list[t
         if cat[b] and kinds[b]["distinct"] > config.max_rhs_domain or not cat[a] and not cat[b]:
             continue
         if cat[b] and cat[a]:
-            for r in domain_of_categories(df, a, b, config).collect():  # at most max_rhs_domain rows
+            for r in domain_of_categories(df, a, b, config, with_null=True).collect():  # at most max_rhs_domain rows
                 cid += 1
                 guard = (b, "IS_NULL" if r["value"] is None else "=", "IS_NULL" if r["value"] is None else str(r["value"]))
                 allowed = [str(x) for x in r["allowed"] if x is not None]
                 rows.append(("data", cid, 0, *guard, a, "IN", allowed))
-                if len(r["allowed"]) < df.filter(_is(b, r["value"])).select(a).distinct().count():
+                if r["or_null"]:
                     rows.append(("data", cid, 1, *guard, a, "IS_NULL", ["IS_NULL"]))
         elif cat[b]:
             for r in domain_of_range(df, a, b, config).collect():
@@ -179,10 +180,6 @@ def domain_atoms(df: DataFrame, fds: list[Dependency], config: Config) -> list[t
     return rows
 
 
-def _is(column: str, value) -> Column:
-    return F.col(column).isNull() if value is None else F.col(column) == F.lit(value)
-
-
 def full_cycles(fds: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
     """Sets of columns each of which depends on the others."""
     edges = {(frozenset(lhs), rhs) for lhs, rhs in fds}
