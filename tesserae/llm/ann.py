@@ -88,18 +88,22 @@ class Block:
         parts = codes.substrings(self.vectors)
         self.tables = [np.unique(parts[:, t], return_inverse=True) for t in range(parts.shape[1])]
 
-    def candidates(self, parts: np.ndarray) -> np.ndarray:
-        """(queries, rows): whether a row is in a bucket within reach of the query's, in any of the indexes."""
-        out = np.zeros((len(parts), len(self.ids)), bool)
+    def candidates(self, parts: np.ndarray, least: int = 0) -> np.ndarray:
+        """(queries, rows): whether a row is in a bucket within reach of the query's, in any of the indexes. Where
+        that finds fewer than `least` rows the query's reach grows until it does, or all rows are found."""
+        near = np.full((len(parts), len(self.ids)), 17, "u1")
         for t, (buckets, members) in enumerate(self.tables):
-            near = np.bitwise_count(parts[:, t : t + 1] ^ buckets[None, :]) <= self.codes.reach
-            out |= near[:, members]
+            apart = np.bitwise_count(parts[:, t : t + 1] ^ buckets[None, :])
+            np.minimum(near, apart[:, members], out=near)
+        out = near <= self.codes.reach
+        for i in np.flatnonzero(out.sum(axis=1) < least):
+            out[i] = near[i] <= (np.partition(near[i], least - 1)[least - 1] if least <= len(self.ids) else 17)
         return out
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         """(query, row id, score) of the k best candidates of each query other than itself."""
         for at in range(0, len(ids), 256):
-            found = self.candidates(self.codes.substrings(vectors[at : at + 256], query=True))
+            found = self.candidates(self.codes.substrings(vectors[at : at + 256], query=True), k + 1)
             for q, v, row in zip(ids[at : at + 256].tolist(), vectors[at : at + 256], found, strict=True):
                 i = np.flatnonzero(row)
                 i = i[self.ids[i] != q]
@@ -134,7 +138,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
 
     share = min(1.0, SAMPLE / total)
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * share) + 1).limit(2 * SAMPLE).toArrow()
-    sample = _matrix(sample.column("v").take(pa.compute.sort_indices(sample.column("id"))))
+    sample = np.unique(_matrix(sample.column("v")), axis=0)  # copies would make the neighbours look near
     codes = Codes(sample, scale)
     codes.fit_reach(sample, k)
 
