@@ -49,10 +49,10 @@ def test_search_empties_bins():
     start = {((51, 1), (26, 1)): 2, ((27, 1), (23, 2)): 1, ((49, 1), (24, 1)): 2}
     end = P.local_search(start, 100)
     assert pieces_of(start) == pieces_of(end) and sum(end.values()) < sum(start.values())
-    assert P.exchange(((30, 2),), ((60, 1), (20, 1)), 20) == ((30,), (20,)) or P.exchange(((30, 2),), ((60, 1), (20, 1)), 20)
-    low, high = ((20, 1), (15, 1)), ((70, 1), (25, 1))
-    give, back = P.exchange(low, high, 5)
-    assert 0 < sum(give) - sum(back) <= 5
+    assert P.exchange(((30, 1), (24, 1)), ((70, 1), (25, 1)), 5) == ((30,), (25,))  # one for one
+    assert P.exchange(((20, 1), (8, 1)), ((70, 1), (25, 1)), 5) == ((20, 8), (25,))  # two for one
+    assert P.exchange(((4, 1), (2, 1)), ((95, 1),), 5) == ((4,), ())  # a move
+    assert P.exchange(((20, 1), (15, 1)), ((70, 1), (25, 1)), 5) is None
 
 
 def test_packed_documents(spark):
