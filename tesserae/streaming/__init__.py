@@ -1 +1 @@
-
+"""The operators here work on tables at rest; there is no streaming counterpart to reproduce."""
