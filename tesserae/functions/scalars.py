@@ -7,18 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that mean true (fixed values).
-TRUE_TEXTS = ("1", "true", "t", "yes", "y")
+#: Texts that mean true and false (fixed values).
+TRUE_TEXTS = ("true", "t", "1", "yes", "y")
+FALSE_TEXTS = ("false", "f", "0", "no", "n")
 #: Texts that mean null in a constraint's value (fixed values).
 NULL_TEXTS = ("IS_NULL", "NULL", "NAN", "")
 
 
 def canonical(text: Column) -> Column:
     """Canonical text of a scalar given as text: null and NaN are null, whole floats lose their fraction, spaces
-    around go, and texts that mean true are "true"."""
+    around go, and texts that mean true or false are "true" or "false"."""
     t = F.trim(text)
     whole = F.regexp_replace(t, r"^([+-]?\d+)\.0*$", "$1")
-    return F.when(t.isNull() | F.lower(t).isin("", "nan", "none", "null"), None).when(F.lower(whole).isin(*TRUE_TEXTS), "true").otherwise(whole)
+    return F.when(t.isNull() | F.lower(t).isin("", "nan", "none", "null"), None).when(F.lower(whole).isin(*TRUE_TEXTS), "true").when(F.lower(whole).isin(*FALSE_TEXTS), "false").otherwise(whole)
 
 
 def as_number(text: Column) -> Column:
@@ -29,8 +30,8 @@ def as_number(text: Column) -> Column:
 
 def as_bit(text: Column) -> Column:
     """1 for true, 0 for false, else null."""
-    t = F.lower(canonical(text))
-    return F.when(t == "true", 1).when(t.isin("0", "false", "f", "no", "n"), 0)
+    t = canonical(text)
+    return F.when(t == "true", 1).when(t == "false", 0)
 
 
 def sorted_tokens(text: Column, separator: str = r"\|") -> Column:

@@ -165,7 +165,7 @@ def domain_atoms(df: DataFrame, fds: list[Dependency], config: Config) -> list[t
         if cat[b] and kinds[b]["distinct"] > config.max_rhs_domain or not cat[a] and not cat[b]:
             continue
         if cat[b] and cat[a]:
-            for r in domain_of_categories(df, a, b, config, with_null=True).collect():  # at most max_rhs_domain rows
+            for r in domain_of_categories(df, a, b, config, with_null=True).orderBy("value").collect():  # at most max_rhs_domain rows
                 cid += 1
                 guard = (b, "IS_NULL" if r["value"] is None else "=", "IS_NULL" if r["value"] is None else str(r["value"]))
                 allowed = [str(x) for x in r["allowed"] if x is not None]
@@ -173,7 +173,7 @@ def domain_atoms(df: DataFrame, fds: list[Dependency], config: Config) -> list[t
                 if r["or_null"]:
                     rows.append(("data", cid, 1, *guard, a, "IS_NULL", ["IS_NULL"]))
         elif cat[b]:
-            for r in domain_of_range(df, a, b, config).collect():
+            for r in domain_of_range(df, a, b, config).orderBy("value").collect():
                 cid += 1
                 guard = (b, "IS_NULL" if r["value"] is None else "=", "IS_NULL" if r["value"] is None else str(r["value"]))
                 rows += [("data", cid, 0, *guard, a, ">=", [repr(r["lo"])]), ("data", cid, 0, *guard, a, "<=", [repr(r["hi"])])]

@@ -113,7 +113,7 @@ def shapley_leverage_budget(spark, sf_dir):
 WITH i AS (SELECT DISTINCT n_regionkey AS id, 'first' AS feature, CAST(substr(n_name, 1, 1) AS VARCHAR) AS value FROM nation UNION SELECT DISTINCT n_regionkey, 'long', CAST(length(n_name) AS VARCHAR) FROM nation),
 q AS (SELECT n_nationkey AS key, 'first' AS feature, substr(n_name, 1, 1) AS value FROM nation UNION ALL SELECT n_nationkey, 'long', CAST(length(n_name) AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 0),
 n AS (SELECT key, count(*) AS n FROM q GROUP BY key)
-SELECT q.key, i.id FROM q JOIN i ON q.feature = i.feature AND CASE WHEN lower(q.value) IN ('1', 't', 'y') THEN 'true' ELSE q.value END = CASE WHEN lower(i.value) IN ('1', 't', 'y') THEN 'true' ELSE i.value END JOIN n ON n.key = q.key GROUP BY q.key, i.id, n.n HAVING count(*) = n.n""")
+SELECT q.key, i.id FROM q JOIN i ON q.feature = i.feature AND CASE WHEN lower(q.value) IN ('1', 't', 'y') THEN 'true' WHEN lower(q.value) IN ('0', 'f', 'n') THEN 'false' ELSE q.value END = CASE WHEN lower(i.value) IN ('1', 't', 'y') THEN 'true' WHEN lower(i.value) IN ('0', 'f', 'n') THEN 'false' ELSE i.value END JOIN n ON n.key = q.key GROUP BY q.key, i.id, n.n HAVING count(*) = n.n""")
 def provenance_candidates(spark, sf_dir):
     n, index, asked = _provenance(spark, sf_dir)
     return P.candidates(index, asked)
@@ -169,7 +169,7 @@ def model_scores(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT event_id, trim(regexp_extract(props, ':\\s*(.*)\\}', 1)) AS v FROM events)
-SELECT event_id, CASE WHEN v IN ('', 'nan', 'none', 'null') THEN NULL WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('1', 'true', 't', 'yes', 'y') THEN 'true' ELSE regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') END AS canon FROM t""")
+SELECT event_id, CASE WHEN v IN ('', 'nan', 'none', 'null') THEN NULL WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('true', 't', '1', 'yes', 'y') THEN 'true' WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('false', 'f', '0', 'no', 'n') THEN 'false' ELSE regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') END AS canon FROM t""")
 def canonical_values(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", canonical(F.regexp_extract("props", r":\s*(.*)\}", 1)).alias("canon"))

@@ -90,7 +90,7 @@ def key_profile(spark, sf_dir):
     return D.key_profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 2)
 
 
-@query("SELECT 'o_orderkey' AS candidate_key UNION ALL SELECT 's_suppkey' UNION ALL SELECT 's_name' WHERE (SELECT count(DISTINCT s_name) = count(*) FROM supplier) UNION ALL SELECT 's_acctbal' WHERE (SELECT count(DISTINCT s_acctbal) = count(*) FROM supplier)")
+@query("SELECT 'o_orderkey' AS candidate_key UNION ALL SELECT 's_suppkey' UNION ALL SELECT 's_nationkey' WHERE (SELECT count(DISTINCT s_nationkey) = count(*) FROM supplier) UNION ALL SELECT 's_name' WHERE (SELECT count(DISTINCT s_name) = count(*) FROM supplier) UNION ALL SELECT 's_acctbal' WHERE (SELECT count(DISTINCT s_acctbal) = count(*) FROM supplier)")
 def candidate_keys(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     found = D.candidate_keys(orders, ["key"]) + D.candidate_keys(table(spark, sf_dir, "supplier"), ["key"])

@@ -12,7 +12,7 @@ from tesserae.sources.tables import read_fds
 
 
 def write_flat(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    df.write.mode("overwrite").option("header", True).format(kind).save(path)
+    df.write.mode("overwrite").options(header=True, escape="\"").format(kind).save(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
