@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, partitions
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) and m, the least v of its u.
+
+    A hub may have most of the edges. Nodes with more than their share of the n edges are as few as a multiple of the
+    partitions; their m is sent to every task, and only the other edges are dealt by u.
+    """
+    limit = max(200, n // (2 * partitions(edges.sparkSession)))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    hubs = F.broadcast(least.filter(F.col("d") > limit).select("u", "m"))
+    rest = edges.join(hubs, "u", "left_anti").join(least.filter(F.col("d") <= limit).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,10 +37,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = _with_least(both, 2 * state["n"]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        joined = _with_least(large, state["n"])
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
