@@ -66,7 +66,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, i
 
 def read_sql(spark: SparkSession, path: str) -> str:
     """Text of a query file."""
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def read_fds(spark: SparkSession, path: str) -> DataFrame:
