@@ -57,7 +57,7 @@ def rewrite_calls(ts: list[str]) -> list[str]:
             if unit != "day":
                 raise ValueError(f"date_diff by {unit} is not supported")
             a, b = ("".join(rewrite_calls(x)).strip() for x in args[1:])
-            out.append(f"date_diff(CAST({b} AS DATE), CAST({a} AS DATE))")  # midnights between
+            out.append(f"CAST(date_diff(CAST({b} AS DATE), CAST({a} AS DATE)) AS BIGINT)")  # midnights between
             i = end + 1
             continue
         if _word(ts[i]) == "COUNT" and j < len(ts) and ts[j] == "(" and _word(ts[_next(ts, j + 1)]) == "DISTINCT":
@@ -67,7 +67,7 @@ def rewrite_calls(ts: list[str]) -> list[str]:
                 inner = "".join(ts[_next(ts, j + 1) + 1 : end]).strip()
                 w = _next(ts, k + 1)
                 stop = _close(ts, w) if ts[w] == "(" else w
-                out.append(f"size(collect_set({inner}) OVER {''.join(ts[w : stop + 1])})")
+                out.append(f"CAST(size(collect_set({inner}) OVER {''.join(ts[w : stop + 1])}) AS BIGINT)")
                 i = stop + 1
                 continue
         out.append(ts[i])

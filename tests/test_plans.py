@@ -32,8 +32,8 @@ def test_windows_run_before_qualify(spark):
     [
         ("SELECT a, FROM t", "SELECT a FROM t"),
         ("SELECT 'x, FROM' AS s, b -- c, FROM\n, FROM t", "SELECT 'x, FROM' AS s, b \n FROM t"),
-        ("SELECT date_diff('day', a, f(b, 1)) FROM t", "SELECT date_diff(CAST(f(b, 1) AS DATE), CAST(a AS DATE)) FROM t"),
-        ("SELECT COUNT(DISTINCT x) OVER (PARTITION BY k) FROM t", "SELECT size(collect_set(x) OVER (PARTITION BY k)) FROM t"),
+        ("SELECT date_diff('day', a, f(b, 1)) FROM t", "SELECT CAST(date_diff(CAST(f(b, 1) AS DATE), CAST(a AS DATE)) AS BIGINT) FROM t"),
+        ("SELECT COUNT(DISTINCT x) OVER (PARTITION BY k) FROM t", "SELECT CAST(size(collect_set(x) OVER (PARTITION BY k)) AS BIGINT) FROM t"),
         ("SELECT k, rn FROM t QUALIFY rn = 1 ORDER BY k", "SELECT * FROM (SELECT k, rn FROM t) WHERE rn = 1 ORDER BY k"),
         ("SELECT COUNT(DISTINCT x) FROM t", "SELECT COUNT(DISTINCT x) FROM t"),
     ],
