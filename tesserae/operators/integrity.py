@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.scalars import seeded
+
 
 @dataclass
 class Rule:
@@ -66,48 +68,77 @@ def violation_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return row.select(F.explode(items).alias("x")).select("x.*")
 
 
-def target(df: DataFrame, column: str, atoms: list[tuple[str, str, list[str]]]) -> Column:
-    """The nearest value of a column that meets its atoms: null, the one value, the nearest (of text, the first)
-    allowed one, or the value moved into its range; a null moves to a bound."""
+NUMERIC = ("integer", "long", "short", "byte", "float", "double", "decimal")
+
+
+def target(df: DataFrame, column: str, atoms: list[tuple[str, str, list[str]]], mode: str = "nearest", draw: Column | None = None) -> Column:
+    """A value of the column that meets its atoms: null, or the one value; of a set or a range
+
+    "nearest": the nearest allowed one (of text, the first), or the value moved to the bound it passes,
+    "random": any, each as likely,
+    "weighted": nearer ones more likely, by 1 / (1 + distance), and in a range more so towards that bound.
+
+    A null counts as below the range. draw: a number in 0 to 1 a row, needed for the last two.
+    """
     c, kind = F.col(column), df.schema[column].dataType
     own = [(op, v) for col, op, v in atoms if col == column]
     if any(op == "IS_NULL" for op, _ in own):
         return F.lit(None).cast(kind)
     if eq := [v[0] for op, v in own if op == "="]:
         return _value(df, column, eq[0])
+    numeric = kind.typeName() in NUMERIC
     if sets := [set(v) for op, v in own if op == "IN"]:
         allowed = sorted(set.intersection(*sets))
-        numeric = kind.typeName() in ("integer", "long", "short", "byte", "float", "double", "decimal")
         if not allowed:
             return c
-        if not numeric:
-            return F.when(c.isin(allowed), c).otherwise(_value(df, column, allowed[0]))
-        options = [F.struct(F.coalesce(F.abs(c - _value(df, column, a)).cast("double"), F.lit(0.0)).alias("d"), _value(df, column, a).alias("v")) for a in allowed]
-        return (F.least(*options) if len(options) > 1 else options[0])["v"]
-    out = c
+        options = [_value(df, column, a) for a in allowed]
+        apart = [F.coalesce(F.abs(c - o).cast("double"), F.lit(0.0)) if numeric else F.lit(0.0) for o in options]
+        if mode == "nearest" and not numeric:
+            return F.when(c.isin(allowed), c).otherwise(options[0])
+        if mode == "nearest":
+            pairs = [F.struct(d.alias("d"), o.alias("v")) for d, o in zip(apart, options, strict=True)]
+            return (F.least(*pairs) if len(pairs) > 1 else pairs[0])["v"]
+        weights = [1 / (1 + d) if mode == "weighted" else F.lit(1.0) for d in apart]
+        out, left = options[-1], reduce(lambda x, y: x + y, weights) * draw
+        sums = [reduce(lambda x, y: x + y, weights[: i + 1]) for i in range(len(weights))]
+        for o, upto in reversed(list(zip(options, sums, strict=True))):
+            out = F.when(left < upto, o).otherwise(out)
+        return out
     low = [_value(df, column, v[0]) for op, v in own if op in (">=", ">")]
     high = [_value(df, column, v[0]) for op, v in own if op in ("<=", "<")]
-    if low:
-        out = F.greatest(out, *low)
-    if high:
-        out = F.least(out, *high)
-    return out
-
-
-def repair(df: DataFrame, rules: list[Rule], fixed: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that break a rule changed as little as possible, rule after rule, in the rule's first alternative; fixed
-    columns never change. Adds n_changed, and n_infeasible: rules still broken."""
+    lo = F.greatest(*low) if len(low) > 1 else low[0] if low else None
+    hi = F.least(*high) if len(high) > 1 else high[0] if high else None
+    if mode != "nearest" and lo is not None and hi is not None and numeric:
+        part = draw if mode == "random" else F.when(c > hi, 1 - draw * draw).otherwise(draw * draw)
+        drawn = lo + (hi - lo) * part
+        return (F.round(drawn) if kind.typeName() in NUMERIC[:4] else drawn).cast(kind)
+    out = c if lo is None else F.greatest(c, lo)
+    return out if hi is None else F.least(out, hi)
+
+
+def repair(df: DataFrame, rules: list[Rule], fixed: tuple[str, ...] = (), mode: str = "nearest", key: str | None = None, seed: int = 0, explain: bool = False) -> DataFrame:
+    """Rows that break a rule changed in as few columns as it names, rule after rule, in the rule's first alternative;
+    fixed columns never change. Adds n_changed, and n_infeasible: rules still broken; with explain also changes, an
+    array of texts (rule, column, before, after). mode: see target(); draws follow from the row's key and the seed.
+    """
     rules, columns = usable(df, rules), df.columns
-    out = df.withColumns({f"_was_{c}": F.col(c) for c in columns})
-    for r in rules:
+    if mode != "nearest" and key is None:
+        raise ValueError("draws need a key")
+    out = df.withColumns({f"_was_{c}": F.col(c) for c in columns}).withColumn("_said", F.expr("cast(array() as array<string>)"))
+    for n, r in enumerate(rules):
         atoms = r.groups[min(r.groups)]
-        broken = guarded(df, r) & ~satisfied(df, r)
         change = sorted({a[0] for a in atoms} - set(fixed))
-        out = out.withColumn("_broken", broken)
-        out = out.withColumns({c: F.when(F.col("_broken"), target(df, c, atoms)).otherwise(F.col(c)) for c in change})
+        draw = {c: seeded(F.concat_ws("|", F.col(f"_was_{key}").cast("string"), F.lit(f"{n}:{c}")), seed) / float(2**32) for c in change} if key else {}
+        out = out.withColumn("_broken", guarded(df, r) & ~satisfied(df, r))
+        if explain:
+            out = out.withColumns({f"_old_{c}": F.col(c).cast("string") for c in change})
+        out = out.withColumns({c: F.when(F.col("_broken"), target(df, c, atoms, mode, draw.get(c))).otherwise(F.col(c)) for c in change})
+        if explain:
+            text = [F.when(F.col("_broken") & ~F.col(c).cast("string").eqNullSafe(F.col(f"_old_{c}")), F.concat(F.lit(f"{r.key[0]} {r.key[1]}: {c} "), F.coalesce(f"_old_{c}", F.lit("null")), F.lit(" to "), F.coalesce(F.col(c).cast("string"), F.lit("null")))) for c in change]
+            out = out.withColumn("_said", F.concat("_said", F.array_compact(F.array(*text)) if text else F.col("_said")))
     still = reduce(lambda a, b: a + b, [(guarded(df, r) & ~satisfied(df, r)).cast("int") for r in rules], F.lit(0))
     changed = reduce(lambda a, b: a + b, [(~F.col(c).eqNullSafe(F.col(f"_was_{c}"))).cast("int") for c in columns], F.lit(0))
-    return out.select(*columns, changed.alias("n_changed"), still.alias("n_infeasible"))
+    return out.select(*columns, changed.alias("n_changed"), still.alias("n_infeasible"), *[F.col("_said").alias("changes")] * explain)
 
 
 def repair_onehot(df: DataFrame, cols: list[str], k: int, fixed: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -74,6 +75,18 @@ def expand(masks: DataFrame, found: DataFrame, index: DataFrame, features: list[
     return out
 
 
+def expand_again(masks: DataFrame, found_by: Callable[[DataFrame], DataFrame], index: DataFrame, features: list[str], rules: list[Rule], threshold: int = 1) -> DataFrame:
+    """expand(), and once more with exactly one candidate for what the wider coalition singles out. found_by gives the
+    candidates (key, id) of masks (key, mask)."""
+    first = expand(masks, found_by(masks), index, features, rules, threshold).select("key", F.col("expanded").alias("mask"))
+    return expand(first, found_by(first), index, features, rules, 1)
+
+
+def group_map(rows: DataFrame, key_cols: list[str], id_col: str) -> DataFrame:
+    """(key_cols, ids): the distinct ids of each combination of values; null is a value."""
+    return rows.groupBy(*key_cols).agg(F.sort_array(F.collect_set(id_col)).alias("ids"))
+
+
 def intersect_ids(parts: list[DataFrame]) -> DataFrame:
     """(key, row_id) that every id column's candidates share; each part is (key, row_id)."""
     every = reduce(DataFrame.unionByName, [p.distinct().withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])

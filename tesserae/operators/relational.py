@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.functions.scalars import bin_of, in_interval, interval_bounds, quantile_edges, seeded
 
@@ -149,3 +150,10 @@ def conditional_update(df: DataFrame, updates: list[tuple[str, Column, Column]])
     for column, condition, value in updates:
         df = df.withColumn(column, F.when(condition, value).otherwise(F.col(column)))
     return df
+
+
+def surrogate_ids(df: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
+    """Whole numbers in order of columns, nulls last; a sort over all partitions, no single one holds the table."""
+    ordered = df.sort(*[F.col(c).asc_nulls_last() for c in order])
+    schema = T.StructType([T.StructField(out, T.LongType(), False), *df.schema.fields])
+    return df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0])), schema)

@@ -145,6 +145,20 @@ both("union_distinct_keys", """
 SELECT s_nationkey AS nationkey FROM supplier UNION SELECT c_nationkey FROM customer UNION SELECT n_nationkey FROM nation
 """, "supplier customer nation")
 
+both("scalar_functions", """
+SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size_d, p_partkey::BIGINT AS big, TRY_CAST(p_brand AS INTEGER) AS no_number, TRIM(p_name) AS name,
+  ABS(p_size - 25) AS off, CAST(CEIL(p_retailprice) AS BIGINT) AS up, p_retailprice * (1 - 0.05) AS net,
+  CASE WHEN p_size > 40 THEN 'big' WHEN p_size > 10 THEN 'mid' ELSE NULL END AS class, p_type IS NULL AS no_type, COALESCE(NULLIF(p_type, 'x'), '-') AS kind
+FROM part WHERE p_size IN (1, 5, 20, 41) AND p_brand IS NOT NULL
+""", "part")
+
+both("view_and_any_value", """
+WITH v AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS balance FROM customer)
+SELECT v.c_nationkey, MIN(v.c_mktsegment) AS any_segment, COUNT(*) AS n, COUNT(v.balance) AS n_balance, MAX(v.balance) AS most,
+  CAST(SUM(CAST(v.balance AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS mean_balance
+FROM v GROUP BY v.c_nationkey
+""", "customer")
+
 both("sort_limit_nulls_last", """
 SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status
 FROM orders ORDER BY status DESC NULLS LAST, o_totalprice DESC, o_orderkey LIMIT 100
@@ -293,3 +307,8 @@ def token_lists(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_join(F.collect_set((F.col("user_id") % 10).cast("string")), " | ").alias("raw"))
     return e.select("event_type", sorted_tokens(F.col("raw")).alias("users"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_mktsegment NULLS LAST, c_custkey) AS id, c_mktsegment, c_custkey FROM customer")
+def surrogate_ids(spark, sf_dir):
+    return R.surrogate_ids(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment", "c_custkey"], "id")

@@ -162,6 +162,9 @@ def test_provenance(spark):
     assert sorted(map(tuple, by_row.collect())) == [(1, 3), (1, 4), (2, 4)]
     a, b = spark.createDataFrame([(1, 5), (1, 6)], "key long, row_id long"), spark.createDataFrame([(1, 6), (1, 7)], "key long, row_id long")
     assert [tuple(r) for r in P.intersect_ids([a, b]).collect()] == [(1, 6)]
+    assert {r["f"]: r["ids"] for r in P.group_map(df, ["f"], "id").collect()} == {"x": [1, 2], "z": [3, 4]}
+    again = P.expand_again(masks.filter("key = 20"), lambda m: found.join(m.select("key"), "key"), index, ["f", "g", "h"], rules)
+    assert again.first()["expanded"] == 7
     assert P.id_rules([(("id",), "h"), (("id",), "other_id"), (("f",), "g")], ["id", "other_id"]) == {"id": ["h"], "other_id": []}
 
 

@@ -147,6 +147,25 @@ def test_repair(spark, rules, row, want):
     assert (r["x"], r["n_changed"], r["n_infeasible"]) == want
 
 
+def test_drawn_repairs_meet_the_rules(spark):
+    df = spark.createDataFrame([(i, 1, i * 10 - 300, "s") for i in range(200)], "k int, g int, x int, s string")
+    band = rule((0, G, ("x", ">=", ["3"])), (0, G, ("x", "<=", ["40"])))
+    some = rule((0, G, ("x", "IN", ["2", "8", "20"])), (0, G, ("s", "IN", ["a", "b"])))
+    seen = {}
+    for mode in ("random", "weighted"):
+        a = [tuple(r) for r in I.repair(df, band, mode=mode, key="k", seed=1).orderBy("k").collect()]
+        assert all(3 <= r[2] <= 40 and r[5] == 0 for r in a) and len({r[2] for r in a}) > 10
+        assert a == [tuple(r) for r in I.repair(df.repartition(3), band, mode=mode, key="k", seed=1).orderBy("k").collect()]
+        seen[mode] = sum(r[2] for r in a if r[0] < 30) / 30
+        b = I.repair(df, some, mode=mode, key="k", seed=1).collect()
+        assert {r["x"] for r in b} == {2, 8, 20} and {r["s"] for r in b} == {"a", "b"}
+    assert seen["weighted"] < seen["random"]  # from below, nearer the lower bound
+    said = I.repair(df.filter("k < 2"), band, explain=True).orderBy("k").first()["changes"]
+    assert said == ["t 1: x -300 to 3"]
+    with pytest.raises(ValueError):
+        I.repair(df, band, mode="random")
+
+
 def test_fixed_columns_never_change(spark):
     df = spark.createDataFrame([(1, 1, "s")], "g int, x int, s string")
     r = I.repair(df, rule((0, G, ("x", ">=", ["3"]))), fixed=("x",)).first()
