@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, sampled
 
 #: Rows at most that codes and probing radius are learned from.
 SAMPLE = 8192
@@ -136,8 +136,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     d, total, scale = top["d"], top["n"], float(np.sqrt(top["norm"]))
     rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d)
 
-    share = min(1.0, SAMPLE / total)
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * share) + 1).limit(2 * SAMPLE).toArrow()
+    sample = rows.filter(sampled(F.col("id"), SAMPLE / total)).limit(2 * SAMPLE).toArrow()
     sample = np.unique(_matrix(sample.column("v")), axis=0)  # copies would make the neighbours look near
     codes = Codes(sample, scale)
     codes.fit_reach(sample, k)

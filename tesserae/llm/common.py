@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remembered(name: str, make):
+    """What make() returned when a worker first asked for the name; kept as long as that Python worker lives."""
+    kept = vars(sys).setdefault("_tesserae_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+def sampled(key: Column, share: float) -> Column:
+    """About a share of the rows, however small, by hash of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them for its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

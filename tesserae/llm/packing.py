@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions
+from .common import checkpointed, partitions, remembered
 
 #: Token ids of a sequence, and the id after each document.
 CAPACITY, END = 2048, 0
@@ -64,10 +64,7 @@ def tokenize(tokenizer_file: str):
     import tokenizers
 
     path = tokenizer_file if os.path.exists(tokenizer_file) else public_tokenizers.path(tokenizer_file)
-    known = vars(tokenizers).setdefault("_word_ids", {})
-    if path not in known:
-        known[path] = _WordIds(tokenizers.Tokenizer.from_file(path))
-    cache = known[path]
+    cache = remembered(f"ids {path}", lambda: _WordIds(tokenizers.Tokenizer.from_file(path)))
 
     def run(text: str | None) -> bytes:
         text = text or ""

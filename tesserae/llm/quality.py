@@ -15,46 +15,67 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered, sampled
+
 #: log2 of the number of slots.
 BITS = 18
 #: The classifier is fitted on at most about so many labelled rows, chosen by hash of the id.
 MAX_ROWS = 4000
 #: Words whose hash a worker remembers.
-CACHE = 1_000_000
+CACHE = 600_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _shape(word: bytes) -> int:
-    try:
-        w = word.decode()
-    except UnicodeDecodeError:
-        w = word.decode("latin-1")
-    letters = [c for c in w if c.isalpha()]
-    case = "n" if not letters else "U" if len(letters) > 1 and all(c.isupper() for c in letters) else "T" if letters[0].isupper() else "l"
-    digits = "d" if any(c.isdigit() for c in w) else ""
-    marks = re.sub(r"[\w]+", "_", w)[:6]
-    return xxhash.xxh64_intdigest(f"{case}{digits}{marks}{min(len(w), 20) // 5}", seed=1)
+_MARKS = re.compile(r"\w+")
+
+
+def _shape(word: bytes) -> bytes:
+    """Letter case, marks and length of a word: "T" and "l" for title and lower case, "U" for capitals, "n" for no
+    letters, "d" where there are digits; runs of word characters as one underscore between the marks."""
+    size = b"%d" % (min(len(word), 20) // 5)
+    if word.isalpha():  # ASCII letters alone
+        return (b"l_" if word.islower() else b"U_" if len(word) > 1 and word.isupper() else b"T_" if word[:1].isupper() else b"l_") + size
+    w = word.decode(errors="replace")
+    case = "U" if len(w) > 1 and w.isupper() else "l" if w.islower() else "T" if w.lower() != w and w.lstrip("_")[:1].isupper() else "l" if w.lower() != w.upper() else "n"
+    digits = "d" if any(map(str.isdigit, w)) else ""
+    return f"{case}{digits}{_MARKS.sub('_', w)[:6]}".encode() + size
+
+
+class _Places(dict):
+    """Numbers of words in order of appearance, and by number the hashes of word and shape."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.shapes, self.known = np.empty(1 << 16, "u8"), np.empty(1 << 16, "u8"), {}
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        if i == len(self.words):
+            self.words, self.shapes = (np.concatenate([a, np.empty_like(a)]) for a in (self.words, self.shapes))
+        shape = _shape(word)
+        if shape not in self.known:
+            self.known[shape] = xxhash.xxh64_intdigest(shape, seed=1)
+        self.words[i], self.shapes[i] = xxhash.xxh64_intdigest(word, seed=0), self.known[shape]
+        return i
 
 
 class Featurizer:
     """Slots of a text's features by kind; remembers words."""
 
     def __init__(self, bits: int = BITS):
-        self.shift, self.cache = np.uint64(64 - bits), {}
+        self.shift, self.places = np.uint64(64 - bits), _Places()
 
     def kinds(self, text: str | None) -> list[np.ndarray]:
         words = (text or "").encode().split()
         if not words:
             return []
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = (xxhash.xxh64_intdigest(w, seed=0), _shape(w))
-        pairs = np.array([cache[w] for w in words], dtype="u8")
-        h, s = pairs[:, 0], pairs[:, 1].copy()
-        s[1:] ^= np.where(h[1:] == h[:-1], _M2, np.uint64(0))
+        if len(self.places) > CACHE:
+            self.places = _Places()
+        places = self.places
+        at = np.fromiter([places[w] for w in words], "i8", len(words))
+        h, s = places.words[at], places.shapes[at]
+        s[1:] ^= np.where(at[1:] == at[:-1], _M2, np.uint64(0))
         out = [h * _M1, (h[:-1] * _M2 + h[1:]) * _M1, s * _M1 + np.uint64(1), (s[:-1] * _M2 + s[1:]) * _M1, ((s[:-2] * _M2 + s[1:-1]) * _M2 + s[2:]) * _M1]
         return [(k ^ (k >> np.uint64(29))) * _M1 >> self.shift for k in out if k.size]
 
@@ -109,11 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
     total = known.count()
     if total > max_rows:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * max_rows / total))
+        known = known.filter(sampled(F.col("_id"), max_rows / total))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
 
     def features(batches):
-        f = Featurizer()
+        f = remembered("quality", Featurizer)
         for b in batches:
             vectors = [sparse(f.kinds(t)) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("_y"), pa.array([s.tobytes() for s, _ in vectors], pa.binary()), pa.array([v.tobytes() for _, v in vectors], pa.binary())], ["id", "y", "slots", "vals"])
@@ -128,7 +149,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     weights, bias = model
 
     def run(batches):
-        f = Featurizer()
+        f = remembered("quality", Featurizer)
         for b in batches:
             dots = [sum(float(weights[k].mean(dtype="f8")) for k in f.kinds(t)) + bias for t in b.column(1).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(dots, "f8"), -35, 35)))
@@ -143,7 +164,7 @@ def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: fl
     names = docs.columns
 
     def run(batches):
-        f = Featurizer()
+        f = remembered("quality", Featurizer)
         for b in batches:
             keep = []
             for t in b.column(names.index(text_col)).to_pylist():

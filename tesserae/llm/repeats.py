@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, remembered
 
 #: Symbols that are worked on at a time, at least one text.
 BATCH = 1 << 19
@@ -69,23 +69,24 @@ class Bytes:
         return h
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Words:
     """Windows of words; a segment is its words with a space between."""
 
     window, gram = 13, 5
 
-    def __init__(self):
-        self.cache: dict[bytes, int] = {}
-
     def load(self, text: str | None) -> tuple[tuple[bytes, np.ndarray], np.ndarray]:
         words = (text or "").encode().split()
-        cache = self.cache
+        cache = remembered("word hashes", _Hashes)
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
         ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
-        return (b" ".join(words), np.concatenate([[0], ends])), np.fromiter(map(cache.__getitem__, words), "u8", len(words))
+        return (b" ".join(words), np.concatenate([[0], ends])), np.fromiter([cache[w] for w in words], "u8", len(words))
 
     def cut(self, loaded: tuple[bytes, np.ndarray], begin: int, end: int) -> bytes:
         joined, at = loaded
