@@ -101,3 +101,15 @@ def op8_substrings(spark, sf_dir):
 
     out = dedup_words(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: {'i': i, 'm': md5(array_to_string(ws[i:i + 12], ' '))})) AS g FROM w),
+f AS (SELECT doc_id, g.i AS i, min(doc_id) OVER (PARTITION BY g.m) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS j FROM f WHERE first < doc_id),
+a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM a ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -199,3 +199,18 @@ def op4_suffixes(spark, sf_dir):
 
     out = dedup_substrings(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(0, len(x) // 2 - 99), lambda i: {'i': i, 'm': md5(substr(x, 2 * i + 1, 200))})) AS g FROM d),
+f AS (SELECT doc_id, g.i AS i, row_number() OVER (PARTITION BY g.m ORDER BY doc_id, g.i) AS n FROM g),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM f WHERE n > 1),
+h AS (SELECT doc_id, i AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE before IS NULL OR before + 100 < i),
+t AS (SELECT doc_id, i + 100 AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE after IS NULL OR i + 100 < after),
+r AS (SELECT doc_id, r, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY r), 0) AS begin FROM h JOIN t USING (doc_id, r)),
+k AS (SELECT doc_id, string_agg(substr(x, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY r) AS head, max(z) AS z, sum(z - a) AS n, count(*) AS spans FROM r JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
