@@ -21,7 +21,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
 
     Sources in code point order, null last, weigh `weights` in turn and share the whole size; a target stops at
     max_repeats times its source's size and the rest is shared again by weight. That ends at
-    target = min(cap, level * weight) for one level, found from running sums in order of cap / weight.
+    target = min(cap, level * weight) for one level, found from running sums in order of cap / weight. The table of
+    sources, a row each, is sorted in one task; documents never go there.
     """
     one = Window.partitionBy(F.lit(0))
     by_name = one.orderBy(F.col("source").asc_nulls_last())

@@ -29,7 +29,7 @@ CAPACITY, END = 2048, 0
 #: Pairs of patterns that the search looks at, at most; it bounds the driver's time, never what is packed.
 MAX_LOOKS = 100_000
 #: Words whose ids a worker remembers.
-CACHE = 800_000
+CACHE = 400_000
 
 
 #: A run of marks after a letter at the end of a word: it is a token run of its own.

@@ -22,7 +22,7 @@ BITS = 18
 #: The classifier is fitted on at most about so many labelled rows, chosen by hash of the id.
 MAX_ROWS = 4000
 #: Words whose hash a worker remembers.
-CACHE = 600_000
+CACHE = 250_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
