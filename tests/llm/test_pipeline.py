@@ -5,10 +5,9 @@ import pytest
 
 import corpus_pipeline
 from tesserae.llm import queries
-from tesserae.llm.quality import Featurizer  # noqa: F401
 from tests.oracle import compare
 
-from .helpers import corpus
+from .helpers import corpus, odd_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +49,18 @@ def test_stages_in_order(spark, sf):
     assert max(fill.values()) <= 2048
 
 
+def test_stages_on_awkward_documents(spark, sf):
+    d, _ = sf
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(None, None, None, None, None)] * 3, odd_ids(corpus(40))):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, d)
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert (docs.count() > 0) == (len(rows) > 3) or len(rows) == 3
+
+
 def test_run_is_the_stages(spark, sf):
     d, _ = sf
     out = corpus_pipeline.run(spark, d)
