@@ -56,7 +56,7 @@ def format_adjacent(conversations: DataFrame, train_role: str = "assistant") ->
     One grouping by conversation and one by pair of at most two rows; no join.
     """
     lists = turn_lists(conversations.filter("conv_id is not null"))
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    pair = F.shiftright(F.col("conv_id").cast("long"), 1)
     pick = lambda i, c: F.max(F.when(F.pmod("conv_id", F.lit(2)) == i, F.col(c)))
     empty = F.expr("cast(array() as array<struct<role:string,text:string>>)")
     both = lists.groupBy(pair.alias("pair_id")).agg(

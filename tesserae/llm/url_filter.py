@@ -110,11 +110,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     if not shapes:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = candidate_keys(F.col("host"), F.col("path"), shapes)
-    universe = parts.select(F.explode(F.array_distinct(F.array(*keys))).alias("key")).filter("key is not null")
-    universe = checkpointed(universe.distinct())
+    universe = parts.select(F.explode(F.array_distinct(F.array(*keys))).alias("key"))
     listed = rules.select(F.concat("host", "path").alias("key"), "verdict")
     every = BloomCascade(listed.select("key"), universe)
-    block = BloomCascade(listed.filter("verdict = 'block'").select("key"), universe)
+    block = BloomCascade(listed.filter("verdict = 'block'").select("key"), listed.select("key"))  # asked about rules alone
     hits = [F.when(every.contains(k), F.struct(F.length(k).alias("n"), k.alias("key"))) for k in keys]
     parts = parts.withColumn("rule", F.greatest(*hits, *hits[:1])["key"])
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(block.contains(F.col("rule")), F.lit("block")).otherwise("allow")
