@@ -16,6 +16,8 @@ from .common import checkpointed
 
 #: One level may take so many bits (64 MiB); a longer list has to be split.
 MAX_BITS = 1 << 29
+#: A level of at most so many bits (8 KiB) is put into the plan as a constant.
+CONSTANT_BITS = 1 << 16
 
 #: (host, path, verdict) of the registered query.
 RULES = (
@@ -40,7 +42,7 @@ class BloomCascade:
         listed = checkpointed(listed.filter("key is not null").select("key").distinct())
         others = universe.filter("key is not null").select("key").distinct().join(listed, "key", "left_anti")
         others = checkpointed(others)
-        self.levels: list[tuple[int, int, DataFrame]] = []
+        self.levels: list[tuple[int, int, Column]] = []
         inside, outside = listed, others
         n_in, n_out = inside.count(), outside.count()
         while n_in:
@@ -60,11 +62,14 @@ class BloomCascade:
         words = at.groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("set"))
         entries = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("m"))
         row = entries.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("words"))
-        self.levels.append((bits, hashes, checkpointed(row)))
+        row = checkpointed(row)
+        # A short filter is a constant of the plan; a long one is read once, by a scalar subquery.
+        words_ = F.array(*[F.lit(w).cast("long") for w in row.first()["words"]]) if bits <= CONSTANT_BITS else row.scalar()
+        self.levels.append((bits, hashes, words_))
 
     def _in_level(self, key: Column, level: int) -> Column:
-        bits, hashes, row = self.levels[level]
-        words, found = row.scalar(), F.lit(True)
+        bits, hashes, words = self.levels[level]
+        found = F.lit(True)
         for p in _positions(key, level, bits, hashes):
             word = F.element_at(words, ((p / 64).cast("long") + 1).cast("int"))
             found = found & (F.getbit(word, (p % 64).cast("int")) == 1)

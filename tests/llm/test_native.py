@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import mixing as M
@@ -121,7 +122,9 @@ def test_urls(spark):
     assert U.filter_urls(df.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
-def test_the_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("constant", [1 << 16, 64])
+def test_the_cascade_is_exact_over_its_universe(spark, monkeypatch, constant):
+    monkeypatch.setattr(U, "CONSTANT_BITS", constant)
     universe = spark.range(6000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.filter(F.substring("key", 2, 9).cast("int") % 3 == 0).union(universe.limit(4))
     cascade = U.BloomCascade(listed, universe)
