@@ -1,45 +1,81 @@
-"""Connected components of links between whole numbers, by alternating star contractions on DataFrames."""
+"""Connected components of links between whole numbers, without a task that holds all links of a hub.
+
+A link points from its larger to its smaller end. Dealt by the larger end, each task joins its links by union-find and
+hands on one link a node, to the least node it is joined with; so no node has more links than there are tasks, however
+many point at it. Links that now start elsewhere are dealt again. When none does, every node has one link, to a
+smaller node, and following links of links finds the roots.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, partitions
 
 
-def _with_least(edges: DataFrame, n: int) -> DataFrame:
-    """edges (u, v) and m, the least v of its u.
+class Forest:
+    """Union-find on 0 to n - 1 by arrays; a root is the least of its tree."""
 
-    A hub may have most of the edges. Nodes with more than their share of the n edges are as few as a multiple of the
-    partitions; their m is sent to every task, and only the other edges are dealt by u.
-    """
-    limit = max(200, n // (2 * partitions(edges.sparkSession)))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-    hubs = F.broadcast(least.filter(F.col("d") > limit).select("u", "m"))
-    rest = edges.join(hubs, "u", "left_anti").join(least.filter(F.col("d") <= limit).select("u", "m"), "u")
-    return edges.join(hubs, "u").unionByName(rest)
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        while True:
+            p = self.parent[i]
+            if (p == i).all():
+                return i
+            i = p
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while i.size:
+            i, j = self.roots(i), self.roots(j)
+            keep = i != j
+            i, j = i[keep], j[keep]
+            np.minimum.at(self.parent, np.maximum(i, j), np.minimum(i, j))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _contract(batches):
+    """One link a node of the partition's links (u, v), to the least node it is joined with; moved: the node had no link
+    that starts here."""
+    u, v = [], []
+    for b in batches:
+        u.append(b.column("u").to_numpy())
+        v.append(b.column("v").to_numpy())
+    if not u:
+        return
+    starts = np.concatenate(u)
+    nodes, at = np.unique(np.concatenate([starts, *v]), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.link(at[: len(starts)], at[len(starts) :])
+    roots = forest.roots(np.arange(len(nodes)))
+    tied = np.flatnonzero(roots != np.arange(len(nodes)))
+    home = np.zeros(len(nodes), bool)
+    home[at[: len(starts)]] = True
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[roots[tied]]), pa.array(~home[tied])], ["u", "v", "moved"])
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the least node that it reaches.
 
-    Each round hangs a node's larger neighbours on its least one, then its smaller ones; the links that are left
-    when nothing changes are stars around the least nodes. Nodes without links don't occur in the result; null
-    ends and loops are ignored, repeated links count once; no links, no rows.
+    Nodes without links don't occur in the result; null ends and loops are ignored, repeated links count once; no
+    links, no rows.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, seen = checkpointed(edges), None
-    for _ in range(max_rounds):
-        # Hash sums tell whether a round changed anything; the links themselves stay in the cluster.
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.min("u").alias("m")).first()
-        if state["n"] == 0 or state == seen:
+    n = partitions(links.sparkSession)
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    while True:
+        edges = checkpointed(edges.select("u", "v").repartition(n, "u").mapInArrow(_contract, "u long, v long, moved boolean"))
+        if edges.filter("moved").isEmpty():
+            break
+    tree = edges.select("u", "v")
+    while True:
+        up = tree.select(F.col("u").alias("v"), F.col("v").alias("_up"))
+        step = tree.join(up, "v", "left").select("u", F.coalesce("_up", "v").alias("v"), F.col("_up").isNotNull().alias("rose"))
+        step = checkpointed(step)
+        tree = step.select("u", "v")
+        if step.filter("rose").isEmpty():
             break
-        seen = state
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * state["n"]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        joined = _with_least(large, state["n"])
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = checkpointed(small)
-    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    roots = tree.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return tree.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

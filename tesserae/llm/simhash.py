@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, partitions, with_row_ids
-from .components import components
+from .components import Forest, components
 
 #: Number of reference fingerprints; they follow from their number alone.
 PIVOTS = 16
@@ -91,27 +91,6 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-class _Forest:
-    """Union-find on 0 to n - 1 by arrays; a root is the least of its tree."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def roots(self, i: np.ndarray) -> np.ndarray:
-        while True:
-            p = self.parent[i]
-            if (p == i).all():
-                return i
-            i = p
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while i.size:
-            i, j = self.roots(i), self.roots(j)
-            keep = i != j
-            i, j = i[keep], j[keep]
-            np.minimum.at(self.parent, np.maximum(i, j), np.minimum(i, j))
-
-
 def _near_pairs(group: np.ndarray, fp: np.ndarray, radius: int):
     """Chunks (i, j) of pairs within the radius whose groups are equal; fp has a row of 64-bit words each."""
     refs = pivots(PIVOTS * fp.shape[1]).reshape(PIVOTS, -1)
@@ -151,7 +130,7 @@ def _forest(batches, radius: int):
     else:
         fp = fp.to_numpy().view("u8")[:, None]
     nodes, local = np.unique(t.column("node").to_numpy(), return_inverse=True)
-    forest = _Forest(len(nodes))
+    forest = Forest(len(nodes))
     for i, j in _near_pairs(t.column("bucket").to_numpy(), fp, radius):
         forest.link(local[i], local[j])
     roots = forest.roots(np.arange(len(nodes)))

@@ -76,6 +76,22 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, **{i: 16 for i in range(16, 21)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = np.random.default_rng(4)  # a hub, a long chain in random order, and random links
+    many = [(1000, 1001 + i) for i in range(300)] + [(5000 + int(i), 5001 + int(i)) for i in rng.permutation(80)]
+    many += [tuple(map(int, e)) for e in rng.integers(10_000, 10_300, (240, 2))]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for x, y in many:
+        if x != y:
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(many, "a long, b long").repartition(5)).collect()}
+    assert got == {i: find(i) for i in parent}
 
 
 def test_similar_documents_go_and_others_stay(spark):
