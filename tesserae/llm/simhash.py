@@ -25,18 +25,24 @@ from .components import Forest, components
 PIVOTS = 16
 #: A key with more fingerprints than this is split into tiles, each pair of which is a group of its own.
 TILE_ROWS = 20_000
-#: Words of 64 bits of a wide fingerprint, by which similarity is estimated.
-WIDE = 8
+#: The same for groups of sets of shingles.
+TILE_SETS = 2_000
+#: Orders of shingles of which a sketch has the least, and the bands of them that are keys.
+HASHES, BANDS, ROWS = 128, 24, 4
 #: Pairs held at a time.
 CHUNK = 1 << 21
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_S29, _S32 = np.uint64(29), np.uint64(32)
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i), seed=i) for i in range(n)], dtype="u8")
 
 
+_ORDERS = pivots(HASHES) | np.uint64(1)
+
+
 def bit_counts(h: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set, most significant first. The bits of one place in all eight bytes are
     summed in one word, 255 words at a time, before a byte can overflow."""
@@ -45,14 +51,11 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return sums.view("u1").reshape(8, -1, 8).sum(axis=1, dtype="i8").T.reshape(64)[::-1]
 
 
-def fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
-    """Bit i is 1 if it is set in over half the shingles' XXH64 (seed 42); no words: 0.
-
-    Bits from the 65th on are those of numbers derived from that hash. Most significant bit first.
-    """
+def fingerprint(text: str | None, shingle: int) -> bytes:
+    """Bit i is 1 if it is set in over half the shingles' XXH64 (seed 42); no words: 0. Most significant bit first."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * words64)
+        return bytes(8)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), "i8", len(words))
     ends = np.cumsum(sizes + 1)
@@ -61,15 +64,7 @@ def fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
     last = ((ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]) - 1).tolist()
     digest, h = xxhash.xxh64_intdigest, np.empty(n, "u8")
     h[:] = [digest(joined[a:b], 42) for a, b in zip(starts, last, strict=True)]
-    out = []
-    for k in range(words64):
-        if k:
-            h = (h ^ np.uint64(k)) * _M1
-            h ^= h >> np.uint64(29)
-            h *= _M2
-            h ^= h >> np.uint64(32)
-        out.append(np.packbits(sum(bit_counts(h[i : i + (1 << 16)]) for i in range(0, n, 1 << 16)) * 2 > n).tobytes())
-    return b"".join(out)
+    return np.packbits(sum(bit_counts(h[i : i + (1 << 16)]) for i in range(0, n, 1 << 16)) * 2 > n).tobytes()
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -125,10 +120,7 @@ def _forest(batches, radius: int):
     if t is None or not t.num_rows:
         return
     fp = t.column("fp").combine_chunks()
-    if pa.types.is_binary(fp.type):
-        fp = np.frombuffer(b"".join(fp.to_pylist()), ">u8").astype("u8").reshape(len(fp), -1)
-    else:
-        fp = fp.to_numpy().view("u8")[:, None]
+    fp = fp.to_numpy().view("u8")[:, None]
     nodes, local = np.unique(t.column("node").to_numpy(), return_inverse=True)
     forest = Forest(len(nodes))
     for i, j in _near_pairs(t.column("bucket").to_numpy(), fp, radius):
@@ -143,13 +135,13 @@ def near_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     masks = block_masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
-    return _links(nodes.select("node", "fp", F.explode(keys).alias("key")), radius)
+    return _links(nodes.select("node", "fp", F.explode(keys).alias("key")), lambda b: _forest(b, radius), TILE_ROWS)
 
 
-def _links(rows: DataFrame, radius: int) -> DataFrame:
-    """Spanning links of the pairs within the radius that share a key, for rows (key, node, fp)."""
+def _links(rows: DataFrame, links, tile_rows: int) -> DataFrame:
+    """The links that links(batches of bucket, node, fp) finds among rows (key, node, fp) that share a key."""
     sizes = rows.groupBy("key").count()
-    hot = checkpointed(sizes.filter(F.col("count") > TILE_ROWS).withColumn("tiles", F.ceil(F.col("count") / TILE_ROWS).cast("int")))
+    hot = checkpointed(sizes.filter(F.col("count") > tile_rows).withColumn("tiles", F.ceil(F.col("count") / tile_rows).cast("int")))
     n = partitions(rows.sparkSession)
     if hot.isEmpty():
         rows = rows.withColumn("bucket", F.col("key"))
@@ -158,53 +150,162 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.withColumn("bucket", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")))
-    return rows.select("bucket", "node", "fp").repartition(n, "bucket").mapInArrow(lambda b: _forest(b, radius), "a long, b long")
+    return rows.select("bucket", "node", "fp").repartition(n, "bucket").mapInArrow(links, "a long, b long")
 
 
-def wide_radius(similarity: float, words64: int = WIDE) -> int:
-    """Differing bits of wide fingerprints whose texts share `similarity` of their shingles (Jaccard), and half a
-    standard deviation more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * words64 * p + 0.5 * math.sqrt(64 * words64 * p * (1 - p)))
-
-
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) among nodes (node, fp) with wide binary fingerprints within the radius.
-
-    Pairs meet under 48 pairs of their 64 bytes. That isn't every pair within such a radius: of those that share
-    0.9 of their shingles it finds over 99 %, at 0.8 about 95 %; groups are found through any of their links.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each distinct shingle, in order; the shingles are those of fingerprint()."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, "u8")
+    found = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), "u8", len(found)))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of HASHES orders; two sets agree in one with the probability of their similarity."""
+    out = np.full(HASHES, np.iinfo("u8").max, "u8")
+    for i in range(0, len(h), 512):
+        np.minimum(out, (h[i : i + 512, None] * _ORDERS).min(axis=0), out=out)
+    return out
+
+
+def sketches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One byte of each of the minima (a row a set), and the keys of the BANDS bands of ROWS minima."""
+    keys = (m[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * _ORDERS[-ROWS:]).sum(axis=2, dtype="u8")
+    keys = (keys ^ (keys >> _S29)) * _M2 + np.arange(BANDS, dtype="u8") * _M1
+    return (m >> np.uint64(16)).astype("u1"), (keys ^ (keys >> _S32)).view("i8")
+
+
+def least_equal(similarity: float) -> int:
+    """Equal bytes of two sketches that similar sets have at least: six standard deviations under what is expected."""
+    return math.floor(HASHES * similarity - 6 * math.sqrt(HASHES * similarity * (1 - similarity)))
+
+
+def _groups(bucket: np.ndarray):
+    """The order that sorts the buckets, and (begin, end) of those of two rows and more."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    begin, end = np.concatenate([[0], cut]), np.append(cut, len(bucket))
+    return order, [(int(a), int(b)) for a, b in zip(begin, end, strict=True) if b - a > 1]
+
+
+def _reached(n: int, near):
+    """Links (i, j) that connect what near connects among 0 to n - 1. near(i, others) says which of the others are near
+    i; a row that is reached is not looked at again, so a group of copies costs little more than its size."""
+    rest = np.arange(1, n)
+    queue = [0]
+    while rest.size:
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+            continue
+        i = queue.pop()
+        hit = near(i, rest)
+        for j in rest[hit].tolist():
+            yield i, j
+            queue.append(j)
+        rest = rest[~hit]
+
+
+def _forest_of(batches, links):
+    """Reads a whole partition of (bucket, node, fp), a share of all buckets, and yields the links that links(list of a
+    bucket's fp) finds."""
+    t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if t is None or not t.num_rows:
+        return
+    node, fp = t.column("node").to_numpy(), t.column("fp").combine_chunks()
+    order, groups = _groups(t.column("bucket").to_numpy())
+    a, b = [], []
+    for begin, end in groups:
+        rows = order[begin:end]
+        for i, j in links(fp.take(pa.array(rows)).to_pylist()):
+            a.append(node[rows[i]])
+            b.append(node[rows[j]])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _sketch_links(fps: list[bytes], least: int):
+    x = np.frombuffer(b"".join(fps), "u1").reshape(len(fps), -1)
+    return _reached(len(x), lambda i, rest: (x[rest] == x[i]).sum(axis=1) >= least)
+
+
+def similar(fps: list[bytes], similarity: float):
+    """Links (i, j) that connect exactly what pairs of sets of that similarity (Jaccard) connect."""
+    sizes = np.array([len(x) // 8 for x in fps], "i8")
+    ids = np.unique(np.frombuffer(b"".join(fps), "u8"), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    mark = np.zeros(int(ids.max()) + 1 if ids.size else 0, bool)
+    held = {"rest": np.arange(len(fps)), "ids": ids, "owner": np.repeat(np.arange(len(fps)), sizes)}
+
+    def near(i, rest):
+        if 2 * len(rest) < len(held["rest"]):  # words of rows that are done are put away
+            wanted = np.zeros(len(fps), bool)
+            wanted[rest] = True
+            keep = wanted[held["owner"]]
+            held.update(rest=rest, ids=held["ids"][keep], owner=held["owner"][keep])
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        both = np.bincount(held["owner"][mark[held["ids"]]], minlength=len(fps))[rest]
+        mark[own] = False
+        return both / np.maximum(1, sizes[i] + sizes[rest] - both) >= similarity
+
+    return _reached(len(fps), near)
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) among nodes (node, fp of sketch and keys) whose texts (_rid, _text) have sets of shingles of that
+    similarity, decided on the sets themselves; they connect what all such pairs connect.
+
+    Sets that share a key and much of their sketch are candidates. At a similarity of 0.8 a pair shares none of the
+    keys with probability 3e-6. Candidates that links reach are one group, to which the sets of its texts are sent
+    once; a group over TILE_SETS goes in tiles.
     """
 
-    def run(batches):
+    def keyed(batches):
         for b in batches:
-            fp = b.column("fp").to_pylist()
-            x = np.frombuffer(b"".join(fp), "u1").reshape(len(fp), -1).astype("i8")
-            size = x.shape[1]
-            pairs = [(i, i + size // 2) for i in range(size // 2)] + [(i, (i + 5) % size) for i in range(0, size, 4)]
-            for k, (i, j) in enumerate(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(k << 16 | x[:, i] << 8 | x[:, j]), b.column("node"), b.column("fp")], ["key", "node", "fp"])
+            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), "u1").reshape(b.num_rows, -1)
+            keys = np.ascontiguousarray(x[:, HASHES:]).view("i8")
+            fp = pa.array([r.tobytes() for r in x[:, :HASHES]], pa.binary())
+            for k in range(BANDS):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), b.column("node"), fp], ["key", "node", "fp"])
 
-    return _links(nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp binary"), radius)
+    def sets(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                fp = [shingle_set(t, shingle).tobytes() for t in b.column("_text").slice(i, 256).to_pylist()]
+                part = b.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array(fp, pa.binary())], ["key", "node", "fp"])
+
+    least = least_equal(similarity)
+    rows = nodes.select("node", "fp").mapInArrow(keyed, "key long, node long, fp binary")
+    groups = components(_links(rows, lambda b: _forest_of(b, lambda x: _sketch_links(x, least)), TILE_ROWS))
+    asked = texts.join(groups.withColumnRenamed("node", "_rid"), "_rid").select(F.col("component").alias("key"), F.col("_rid").alias("node"), "_text")
+    members = checkpointed(asked.mapInArrow(sets, "key long, node long, fp binary"))
+    return _links(members, lambda b: _forest_of(b, lambda x: similar(x, similarity)), TILE_SETS)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without rows that are near-duplicates of an earlier row: of each group the row with the least id stays.
 
-    Near: the similarity, estimated from 512-bit SimHash fingerprints of the texts' shingles, is `similarity` or
-    more; groups are connected components. Rows go by (id, nulls last, then text). Null, empty and wordless texts
-    are one group. All columns are kept as they are.
+    Near: the sets of the texts' distinct shingles have that similarity (Jaccard) or more, which is decided on the
+    sets; groups are connected components. Rows go by (id, nulls last, then text). Null, empty and wordless texts are
+    one group. All columns are kept as they are.
     """
     rest = tuple(c for c in df.columns if c not in (id_col, text_col))
     rows, _ = with_row_ids(df, id_col, text_col, rest)
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(t.as_py(), shingle, WIDE) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], ["_rid", "fp"])
-
-    fps = checkpointed(rows.select("_rid", "_text").mapInArrow(run, "_rid long, fp binary"))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("_rid").alias("node")))
-    roots = components(wide_links(nodes, wide_radius(similarity)))
+            for at in range(0, b.num_rows, 256):
+                sets = [shingle_set(t, shingle) for t in b.column(1).slice(at, 256).to_pylist()]
+                same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                sketch, keys = sketches(np.array([minima(x) for x in sets]))
+                fp = [x.tobytes() + k.tobytes() for x, k in zip(sketch, keys, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(same, pa.binary()), pa.array(fp, pa.binary())], ["_rid", "same", "fp"])
+
+    fps = checkpointed(rows.select("_rid", "_text").mapInArrow(run, "_rid long, same binary, fp binary"))
+    nodes = checkpointed(fps.groupBy("same").agg(F.min("_rid").alias("node"), F.first("fp").alias("fp")))
+    roots = components(similar_links(nodes, rows.select("_rid", "_text"), shingle, similarity))
     firsts = nodes.select("node").join(roots.filter("component <> node"), "node", "left_anti")
     kept = rows.join(firsts.withColumnRenamed("node", "_rid"), "_rid", "left_semi")
     named = {id_col: F.col("_id"), text_col: F.col("_text")} | {c: F.col("_carry")[c] for c in rest}

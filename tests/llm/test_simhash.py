@@ -116,3 +116,20 @@ def test_similar_documents_go_and_others_stay(spark):
     kept = S.drop_near_duplicates(odd).collect()
     assert 0 < len(kept) < odd.count() and len({r["text"] or "" for r in kept}) == len(kept)
     assert S.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def similarity(x, y, n=5):
+    a, b = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_a_repeated_line_makes_no_near_duplicates(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    rows = []
+    for k, (times, own) in enumerate([(10, 100), (20, 200)] * 5):
+        line = text(14)
+        for i in range(2):
+            rows.append((10 * k + i, " ".join([text(own), *[line] * times]), "en", "s", 1))
+        assert similarity(rows[-1][1], rows[-2][1]) < 0.1
+    assert {r["doc_id"] for r in S.drop_near_duplicates(frame(spark, rows)).collect()} == {r[0] for r in rows}
