@@ -29,6 +29,8 @@ TILE_ROWS = 20_000
 TILE_SETS = 2_000
 #: Orders of shingles of which a sketch has the least, and the bands of them that are keys.
 HASHES, BANDS, ROWS = 128, 24, 4
+#: Shingles of a set that is looked up by its own shingles, so that no pair of such sets is missed.
+SHORT = 25
 #: Pairs held at a time.
 CHUNK = 1 << 21
 
@@ -182,6 +184,11 @@ def least_equal(similarity: float) -> int:
     return math.floor(HASHES * similarity - 6 * math.sqrt(HASHES * similarity * (1 - similarity)))
 
 
+def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The least shingles of a set, as many that two sets of that similarity always share one of theirs."""
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
 def _groups(bucket: np.ndarray):
     """The order that sorts the buckets, and (begin, end) of those of two rows and more."""
     order = np.argsort(bucket, kind="stable")
@@ -253,12 +260,13 @@ def similar(fps: list[bytes], similarity: float):
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) among nodes (node, fp of sketch and keys) whose texts (_rid, _text) have sets of shingles of that
+    """Links (a, b) among nodes (node, fp of sketch and keys, short: the set if it is small) whose texts (_rid, _text) have sets of shingles of that
     similarity, decided on the sets themselves; they connect what all such pairs connect.
 
     Sets that share a key and much of their sketch are candidates. At a similarity of 0.8 a pair shares none of the
     keys with probability 3e-6. Candidates that links reach are one group, to which the sets of its texts are sent
-    once; a group over TILE_SETS goes in tiles.
+    once; a group over TILE_SETS goes in tiles. Sets of at most SHORT shingles also meet under each shingle of their
+    prefix, where they are compared themselves: of these no pair is missed.
     """
 
     def keyed(batches):
@@ -276,12 +284,24 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
                 part = b.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array(fp, pa.binary())], ["key", "node", "fp"])
 
+    def short(batches):
+        for b in batches:
+            key, node, fp = [], [], []
+            for n, raw in zip(b.column("node").to_pylist(), b.column("short").to_pylist(), strict=True):
+                keys = prefix(np.frombuffer(raw, "i8").view("u8"), similarity).view("i8").tolist()
+                key += keys
+                node += [n] * len(keys)
+                fp += [raw] * len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary())], ["key", "node", "fp"])
+
+    exact = lambda b: _forest_of(b, lambda x: similar(x, similarity))
     least = least_equal(similarity)
     rows = nodes.select("node", "fp").mapInArrow(keyed, "key long, node long, fp binary")
     groups = components(_links(rows, lambda b: _forest_of(b, lambda x: _sketch_links(x, least)), TILE_ROWS))
     asked = texts.join(groups.withColumnRenamed("node", "_rid"), "_rid").select(F.col("component").alias("key"), F.col("_rid").alias("node"), "_text")
     members = checkpointed(asked.mapInArrow(sets, "key long, node long, fp binary"))
-    return _links(members, lambda b: _forest_of(b, lambda x: similar(x, similarity)), TILE_SETS)
+    small = nodes.filter("short is not null").select("node", "short").mapInArrow(short, "key long, node long, fp binary")
+    return _links(members, exact, TILE_SETS).union(_links(small, exact, TILE_ROWS))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -301,10 +321,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 sketch, keys = sketches(np.array([minima(x) for x in sets]))
                 fp = [x.tobytes() + k.tobytes() for x, k in zip(sketch, keys, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(same, pa.binary()), pa.array(fp, pa.binary())], ["_rid", "same", "fp"])
+                short = [x.tobytes() if 0 < len(x) <= SHORT else None for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *[pa.array(c, pa.binary()) for c in (same, fp, short)]], ["_rid", "same", "fp", "short"])
 
-    fps = checkpointed(rows.select("_rid", "_text").mapInArrow(run, "_rid long, same binary, fp binary"))
-    nodes = checkpointed(fps.groupBy("same").agg(F.min("_rid").alias("node"), F.first("fp").alias("fp")))
+    fps = checkpointed(rows.select("_rid", "_text").mapInArrow(run, "_rid long, same binary, fp binary, short binary"))
+    nodes = checkpointed(fps.groupBy("same").agg(F.min("_rid").alias("node"), F.first("fp").alias("fp"), F.first("short").alias("short")))
     roots = components(similar_links(nodes, rows.select("_rid", "_text"), shingle, similarity))
     firsts = nodes.select("node").join(roots.filter("component <> node"), "node", "left_anti")
     kept = rows.join(firsts.withColumnRenamed("node", "_rid"), "_rid", "left_semi")

@@ -133,3 +133,28 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
             rows.append((10 * k + i, " ".join([text(own), *[line] * times]), "en", "s", 1))
         assert similarity(rows[-1][1], rows[-2][1]) < 0.1
     assert {r["doc_id"] for r in S.drop_near_duplicates(frame(spark, rows)).collect()} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("tile", [2000, 3])
+def test_like_all_pairs_around_the_threshold(spark, monkeypatch, tile):
+    monkeypatch.setattr(S, "TILE_SETS", tile)
+    rng = np.random.default_rng(7)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    texts = []
+    for n in [5, 6, 7, 8, 9, 10, 12, 15, 20, 24, 28, 29, 30, 34] * 4:  # short: a word is added, or changed at an end
+        w = text(n)
+        texts += [w, [*w, "added"], ["changed", *w[1:]], [*w[:-1], "other"]]
+    for n in (60, 200, 600):
+        for share in np.linspace(0.7, 0.9, 21):  # long: a tail of its own, similarity share
+            w = text(n + 4)
+            cut = round(2 * share / (1 + share) * n) + 4
+            texts += [w, [*w[:cut], *text(n + 4 - cut)]]
+    texts += [["Same", "WORDS"], ["same", "words"], []]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)]
+    sets = [{tuple(x.lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert {r["doc_id"] for r in S.drop_near_duplicates(frame(spark, rows)).collect()} == set(root)
