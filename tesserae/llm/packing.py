@@ -11,6 +11,7 @@ number tells a piece its sequence and offset.
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import re
 import struct
@@ -26,8 +27,6 @@ from .common import checkpointed, partitions, remembered
 
 #: Token ids of a sequence, and the id after each document.
 CAPACITY, END = 2048, 0
-#: Pairs of patterns that the search looks at, at most; it bounds the driver's time, never what is packed.
-MAX_LOOKS = 100_000
 #: Words whose ids a worker remembers.
 CACHE = 400_000
 
@@ -165,35 +164,101 @@ def exchange(low: Pattern, high: Pattern, room: int) -> tuple[tuple[int, ...], t
     return found
 
 
-def local_search(bins: dict[Pattern, int], capacity: int, max_looks: int = MAX_LOOKS) -> dict[Pattern, int]:
-    """Fewer or as many bins with the same pieces: exchanges that raise the sum of squared fills, until none does."""
+class _Open:
+    """What underfull patterns can take: a row for each choice that a pattern can give back, as arrays; rows are only
+    added at the end. A give of `total` fits a row whose sum is less and whose sum and room are as much or more."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.rows = capacity, np.empty((5, 1 << 10), "i8")  # number, sum, pieces, sum and room, fill
+        self.end, self.dead, self.patterns, self.number, self.seen = 0, 0, [], {}, {}
+
+    def add(self, p: Pattern) -> None:
+        back = _choices(p)
+        while self.end + len(back) > self.rows.shape[1]:
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)], axis=1)
+        full = fill(p)
+        for i, (total, taken) in enumerate(back, self.end):
+            self.rows[:, i] = len(self.patterns), total, len(taken), total + self.capacity - full, full
+        self.number[p], self.seen[p] = len(self.patterns), 0
+        self.patterns.append(p)
+        self.end += len(back)
+
+    def drop(self, p: Pattern) -> None:
+        self.rows[3, : self.end][self.rows[0, : self.end] == self.number.pop(p)] = -1  # nothing fits
+        del self.seen[p]
+        self.dead += 1
+
+    def compact(self) -> None:
+        """Puts away the rows of patterns that are gone, where they are most."""
+        if self.dead < 64 + len(self.number):
+            return
+        alive = self.rows[3, : self.end] >= 0
+        before = np.concatenate([[0], np.cumsum(alive)]).tolist()
+        self.seen = {p: before[n] for p, n in self.seen.items()}
+        self.end, self.dead = before[-1], 0
+        self.rows[:, : self.end] = self.rows[:, : len(alive)][:, alive]
+
+    def partner(self, low: Pattern, alone: bool) -> Pattern | None:
+        """A pattern as full or fuller that an exchange with low leaves least room in, of the rows not seen; none: all
+        rows are seen by low. alone: there is one copy of low."""
+        number, sums, pieces, most, full = self.rows[:, self.seen[low] : self.end]
+        at = np.flatnonzero((full >= fill(low)) & (most > 0) & ((number != self.number[low]) | (not alone)))
+        number, sums, pieces, most = number[at], sums[at], pieces[at], most[at]
+        best, found = self.capacity, None
+        for total, count in sorted({(total, len(give)) for total, give in _choices(low)[1:]}, reverse=True):
+            fit = (sums < total) & (most >= total)
+            if count == 2:
+                fit &= pieces == 1
+            i = np.flatnonzero(fit)
+            if i.size and (least := int((left := most[i] - total).min())) < best:
+                best, found = least, self.patterns[number[i[left.argmin()]]]
+                if not best:
+                    break
+        if found is None:
+            self.seen[low] = self.end
+        return found
+
+
+def local_search(bins: dict[Pattern, int], capacity: int) -> dict[Pattern, int]:
+    """Fewer or as many bins with the same pieces: exchanges that raise the sum of squared fills, until none does or
+    there are no more bins than the pieces' sum needs."""
     bins = dict(bins)
     least = -(-sum(fill(p) * c for p, c in bins.items()) // capacity)
-    looks, dry = 0, set()
-    while looks < max_looks and sum(bins.values()) > least:
-        open_ = sorted((p for p in bins if fill(p) < capacity), key=lambda p: (fill(p), p))
-        done = False
-        for i, low in enumerate(open_):
-            for high in reversed(open_[i:]):
-                if (low, high) in dry or high == low and bins[low] < 2:
-                    continue
-                looks += 1
-                if not (swap := exchange(low, high, capacity - fill(high))):
-                    dry.add((low, high))
-                    continue
-                copies = bins[low] // 2 if low == high else min(bins[low], bins[high])
-                for p, out, into in ((low, swap[0], swap[1]), (high, swap[1], swap[0])):
-                    bins[p] -= copies
-                    if not bins[p]:
-                        del bins[p]
-                    if new := _changed(p, out, into):
-                        bins[new] = bins.get(new, 0) + copies
-                done = True
+    many, open_ = sum(bins.values()), _Open(capacity)
+    heap = sorted((fill(p), p) for p in bins if fill(p) < capacity)
+    for _, p in heap:
+        open_.add(p)
+
+    def put(p: Pattern, copies: int) -> None:
+        before = bins.get(p, 0)
+        bins[p] = before + copies
+        if not bins[p]:
+            del bins[p]
+        if fill(p) == capacity:
+            return
+        if before and (not bins.get(p) or before == 1 < bins[p]):  # a second copy is a new partner of the first
+            open_.drop(p)
+        if p in bins and p not in open_.number:
+            open_.add(p)
+            heapq.heappush(heap, (fill(p), p))
+
+    while many > least:
+        if not heap:  # patterns that came since may be partners of those that found none
+            heap = sorted((fill(p), p) for p, seen in open_.seen.items() if seen < open_.end)
+            if not heap:
                 break
-            if done or looks >= max_looks:
-                break
-        if not done:
-            break
+        low = heapq.heappop(heap)[1]
+        while low in open_.number and many > least and (high := open_.partner(low, bins[low] < 2)):
+            give, back = exchange(low, high, capacity - fill(high))
+            copies = bins[low] // 2 if low == high else min(bins[low], bins[high])
+            for p, out, into in ((low, give, back), (high, back, give)):
+                new = _changed(p, out, into)
+                put(p, -copies)
+                if new:
+                    put(new, copies)
+                else:
+                    many -= copies
+        open_.compact()
     return bins
 
 

@@ -72,3 +72,18 @@ def test_packed_documents(spark):
             p.sort()
             assert [a for a, _ in p] == [0, *np.cumsum([n for _, n in p])[:-1]] and sum(n for _, n in p) <= 128
     assert P.pack_documents(frame(spark, [])).count() == 0
+
+
+def test_search_ends_where_no_exchange_helps():
+    rng = np.random.default_rng(3)
+    for low, high, n in ((300, 900, 20_000), (500, 1000, 20_000), (300, 900, 500), (40, 100, 50)):
+        counts = Counter(rng.integers(low, high + 1, n).tolist())
+        end = P.local_search(P.best_fit(counts, 2048), 2048)
+        total = Counter()
+        for p, c in end.items():
+            assert P.fill(p) <= 2048
+            total.update({x: k * c for x, k in p})
+        assert total == counts
+        if sum(end.values()) > -(-sum(x * c for x, c in counts.items()) // 2048):
+            left = [p for p in end if P.fill(p) < 2048]
+            assert not any(P.exchange(p, q, 2048 - P.fill(q)) for p in left for q in left if P.fill(p) <= P.fill(q) and (p != q or end[p] > 1))
