@@ -156,7 +156,7 @@ def _pieces(kind, rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield batch
 
 
-def _rows(batches: Iterable[pa.RecordBatch], columns: int = 5) -> Iterator[tuple]:
+def _rows(batches: Iterable[pa.RecordBatch], columns: int = 6) -> Iterator[tuple]:
     for b in batches:
         for i in range(b.num_rows):
             yield tuple(c[i].as_py() for c in b.columns[:columns])
@@ -170,21 +170,21 @@ def _split48(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(0xFFFFFFFF)).astype("u4"), (h >> _S32).astype("u2")
 
 
-ANCHOR_ROWS = "bucket int, n int, known boolean, low binary, rids binary"
+ANCHOR_ROWS = "bucket int, n int, known boolean, mark boolean, low binary, rids binary"
 
 
 def send_anchors(kind, buckets: int) -> Callable:
     """Step 1 at the texts: (rid, text) to blobs of (gram, rid) by bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("low", pa.binary()), ("rids", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("mark", pa.bool_()), ("low", pa.binary()), ("rids", pa.binary())])
 
-    def blobs(bucket, h, rid, known):
+    def blobs(bucket, h, rid, known, mark=False):
         order = np.lexsort((rid, bucket))
         bucket, h, rid = bucket[order], h[order], rid[order]
         cut = np.flatnonzero(np.diff(bucket)) + 1
         out = []
         for a, b in zip([0, *cut], [*cut, len(bucket)], strict=True):
             if b > a:
-                out.append((int(bucket[a]), int(b - a), known, b"".join(x.tobytes() for x in _split48(h[a:b])), _pack(np.diff(rid[a:b], prepend=0))))
+                out.append((int(bucket[a]), int(b - a), known, mark, b"".join(x.tobytes() for x in _split48(h[a:b])), _pack(np.diff(rid[a:b], prepend=0))))
         return out
 
     def flush(h, rid):
@@ -193,11 +193,12 @@ def send_anchors(kind, buckets: int) -> Callable:
         same = h[1:] == h[:-1]
         twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         lead = twice & ~np.concatenate([[False], same])
-        # Grams seen twice here: their texts are told straight away, their bucket once (as row -1).
+        # Grams seen twice here: their texts are told straight away, their bucket once (as a mark, of no row).
         h48 = h & _LOW48
         rows = blobs((rid[twice] % buckets).astype("i4"), h48[twice], rid[twice], True)
-        ask = np.concatenate([np.flatnonzero(~twice), np.flatnonzero(lead)])
-        rows += blobs(((h[ask] >> _S32) % np.uint64(buckets)).astype("i4"), h48[ask], np.where(twice[ask], -1, rid[ask]), False)
+        bucket = ((h >> _S32) % np.uint64(buckets)).astype("i4")
+        rows += blobs(bucket[~twice], h48[~twice], rid[~twice], False)
+        rows += blobs(bucket[lead], h48[lead], np.zeros(np.count_nonzero(lead), "i8"), False, True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches):
@@ -218,8 +219,8 @@ def send_anchors(kind, buckets: int) -> Callable:
 
 def match_anchors(batches):
     """Step 1 in the buckets: the grams that occur twice, as rows (rid, gram)."""
-    h, rid, out = [np.empty(0, "u8")], [np.empty(0, "i8")], []
-    for n, known, low, packed in (r[1:] for r in _rows(batches)):
+    h, rid, marks, out = [np.empty(0, "u8")], [np.empty(0, "i8")], [np.empty(0, bool)], []
+    for n, known, mark, low, packed in (r[1:] for r in _rows(batches)):
         grams = np.frombuffer(low, "u4", n).astype("u8") | (np.frombuffer(low, "u2", n, 4 * n).astype("u8") << _S32)
         ids = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "i8"))
         if known:
@@ -227,13 +228,14 @@ def match_anchors(batches):
         else:
             h.append(grams)
             rid.append(ids)
-    h, rid = np.concatenate(h), np.concatenate(rid)
+            marks.append(np.full(n, mark))
+    h, rid, marks = np.concatenate(h), np.concatenate(rid), np.concatenate(marks)
     order = np.argsort(h)
-    h, rid = h[order], rid[order]
+    h, rid, marks = h[order], rid[order], marks[order]
     same = h[1:] == h[:-1]
-    # A gram that a task has seen twice comes as row -1, which makes any other a match.
+    # A gram that a task has seen twice comes as a mark, which makes any other a match.
     twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    out.append((rid[twice & (rid >= 0)], h[twice & (rid >= 0)]))
+    out.append((rid[twice & ~marks], h[twice & ~marks]))
     for ids, grams in out:
         for i in range(0, len(ids), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(grams[i : i + (1 << 16)].astype("i8"))], ["_rid", "gram"])

@@ -58,6 +58,15 @@ def test_words_like_brute_force(spark):
     assert dedup_words(frame(spark, [])).count() == 0
 
 
+def test_negative_ids(spark):
+    rows = [(r[0] - 100, *r[1:]) for r in corpus(seed=4)]
+    out = dedup_substrings(frame(spark, rows)).collect()
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out]
+    assert sorted(got, key=key) == sorted(byte_brute(rows), key=key)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in dedup_words(frame(spark, rows)).collect()]
+    assert sorted(got, key=key) == sorted(word_brute(rows), key=key)
+
+
 def test_small_batches_and_blocks_change_nothing(spark, monkeypatch):
     for name, value in (("BATCH", 500), ("PIECE", 700), ("FLUSH_ANCHORS", 40), ("FLUSH_BYTES", 900), ("BLOCK", 50)):
         monkeypatch.setattr(repeats, name, value)
