@@ -28,6 +28,14 @@ def _ranks(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
     return np.unique(a[:n] * (int(b.max()) + 1) + b[gap : gap + n], return_inverse=True)[1]
 
 
+def hits(gram: np.ndarray, row: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Whether each gram equals a reference gram of another row."""
+    low, high = np.full(int(gram.max()) + 1, np.iinfo("i8").max), np.full(int(gram.max()) + 1, np.iinfo("i8").min)
+    np.minimum.at(low, gram[reference], row[reference])
+    np.maximum.at(high, gram[reference], row[reference])
+    return (low[gram] < row) | (high[gram] > row)
+
+
 def earlier_windows(block: Segments, window: int = Words.window):
     """Whether each window of the block's segments has an equal one in a segment of an earlier row."""
     split = [d.split(b" ") for d in block.data]
@@ -42,12 +50,11 @@ def earlier_windows(block: Segments, window: int = Words.window):
     pair = _ranks(word, word, 1)
     four = _ranks(pair, pair, 2)
     seven = _ranks(four, four, 3)  # four words and four from the third on
-    # Reference blocks, and the places whose rolling window hits one.
+    # Reference blocks with their rows, and the places whose rolling window hits one of another row.
     fixed = (block.start[owner[: len(seven)]] + place[: len(seven)]) % BLOCK_WORDS == 0
     inside = size[owner[: len(seven)]] - place[: len(seven)] >= BLOCK_WORDS
-    index = np.zeros(int(seven.max()) + 1, bool)
-    index[seven[fixed & inside]] = True
-    hit = np.concatenate([[0], np.cumsum(index[seven])])
+    rows = block.rid[owner[: len(seven)]]
+    hit = np.concatenate([[0], np.cumsum(hits(seven, rows, fixed & inside))])
     probed = hit[at + window - BLOCK_WORDS + 1] > hit[at]
     # Extension of a hit to the whole window: its first and last seven words tell all 13.
     tried = at[probed]

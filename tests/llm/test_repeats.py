@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm import repeats
+from tesserae.llm import repeats, substring_dedup
 from tesserae.llm.substring_dedup import dedup_words
 from tesserae.llm.suffix_dedup import COVER, PERIOD, _words, dedup_substrings, equal_classes, remove_repeats, shifts
 
@@ -67,6 +67,22 @@ def test_negative_ids(spark):
     assert sorted(got, key=key) == sorted(word_brute(rows), key=key)
 
 
+def test_probes_hit_blocks_of_other_rows_only(monkeypatch):
+    a, b = ([f"{x}{i}".encode() for i in range(30)] for x in "ab")
+    rows = [a, b, b[5:20], a + a]  # the last repeats the first, and itself
+    tried = []
+    whole = substring_dedup.hits
+    monkeypatch.setattr(substring_dedup, "hits", lambda *x: tried.append(whole(*x)) or tried[-1])
+    for texts, want in ((rows, True), ([a + a, b], False)):
+        block = repeats.Segments([1] * len(texts), range(-1, len(texts) - 1), [0] * len(texts), [b" ".join(t) for t in texts])
+        seg, place, old = substring_dedup.earlier_windows(block)
+        first, expected = {}, []
+        for n, t in enumerate(texts):
+            expected += [first.setdefault(tuple(t[k : k + 13]), n) != n for k in range(len(t) - 12)]
+        assert old.tolist() == expected and any(expected) == want
+        assert tried[-1].any() == want and not tried[-1].all()
+
+
 def test_small_batches_and_blocks_change_nothing(spark, monkeypatch):
     for name, value in (("BATCH", 500), ("PIECE", 700), ("FLUSH_ANCHORS", 40), ("FLUSH_BYTES", 900), ("BLOCK", 50)):
         monkeypatch.setattr(repeats, name, value)
