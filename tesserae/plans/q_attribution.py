@@ -9,7 +9,7 @@ from tesserae.operators import attribution as A
 from tesserae.operators import coalitions as C
 from tesserae.operators import models as M
 from tesserae.operators import provenance as P
-from tesserae.operators.relational import stratified_split
+from tesserae.operators.relational import seeded_sample, stratified_split
 from tesserae.plans.q_relational import table
 
 QUERIES: dict = {}
@@ -31,12 +31,27 @@ FEATURES = ["qty", "disc", "tax", "size"]
 RULES = [(("disc",), "tax"), (("qty", "disc"), "size")]
 
 
+#: Background rows of the queries that explain every part.
+BACKGROUND = 16
+
+
+def _numbers(spark, sf_dir):
+    """Parts as rows of small whole numbers."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") * 7 % 50).cast("int").alias("qty"), (F.col("p_size") % 11).cast("int").alias("disc"), (F.length("p_name") % 9).cast("int").alias("tax"), F.col("p_size").cast("int").alias("size"))
+
+
 def parts(spark, sf_dir):
-    """40 rows to explain and 16 background rows, of small whole numbers."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") * 7 % 50).cast("int").alias("qty"), (F.col("p_size") % 11).cast("int").alias("disc"), (F.length("p_name") % 9).cast("int").alias("tax"), F.col("p_size").cast("int").alias("size"))
+    """40 rows to explain and 16 background rows, as the SQL of the exact queries has them."""
+    p = _numbers(spark, sf_dir)
     return p.filter("row_id <= 40"), p.filter("row_id > 40 and row_id <= 56")
 
 
+def every_part(spark, sf_dir):
+    """All rows to explain, and a seeded sample of BACKGROUND of them as background, whatever the table's size."""
+    p = _numbers(spark, sf_dir)
+    return p, seeded_sample(p, "row_id", BACKGROUND, 2026)
+
+
 _PARTS = """p AS (SELECT p_partkey AS row_id, CAST(p_partkey * 7 % 50 AS INTEGER) AS qty, p_size % 11 AS disc, CAST(length(p_name) % 9 AS INTEGER) AS tax, p_size AS size FROM part),
 e AS (SELECT * FROM p WHERE row_id <= 40), b AS (SELECT * FROM p WHERE row_id > 40 AND row_id <= 56)"""
 
@@ -99,13 +114,13 @@ def shapley_by_regression(spark, sf_dir):
 
 @query()
 def shapley_monte_carlo(spark, sf_dir):
-    e, b = parts(spark, sf_dir)
+    e, b = every_part(spark, sf_dir)
     return A.monte_carlo(e, "row_id", b, FEATURES, score, n=100, seed=2026, closure=C.rule_masks(RULES, FEATURES))
 
 
 @query()
 def shapley_leverage_budget(spark, sf_dir):
-    e, b = parts(spark, sf_dir)
+    e, b = every_part(spark, sf_dir)
     return A.regression(e, "row_id", b, FEATURES, score, samples=8, seed=2026, closure=C.rule_masks(RULES, FEATURES))
 
 

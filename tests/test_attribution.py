@@ -183,3 +183,25 @@ def test_search_and_labels(spark):
     assert {(r["x"] >= 5) == (r["y"] == 1) for r in df.collect()} == {True}
     found = M.search(df, "k", "y", lambda d, label, **o: M.train(d, label, "logreg", **o), {"regParam": [0.0, 0.1], "maxIter": [5]}, tries=2, seed=1)
     assert len(found) == 2 and found[0][0] > 0.95
+
+
+def test_every_part_is_explained(spark):
+    from collections import defaultdict
+
+    from tesserae.plans import q_attribution as Q
+
+    sf = "/root/testdata/sf0.001"
+    parts, background = ([r.asDict() for r in df.collect()] for df in Q.every_part(spark, sf))
+    assert len(background) == Q.BACKGROUND and len(parts) == spark.read.parquet(f"{sf}/part.parquet").count() > 56
+
+    def score(x):
+        return 2 * x["qty"] + (100 if x["disc"] > 5 and x["qty"] > 25 else 0) - 3 * x["tax"] * (x["size"] > 20)
+
+    base = sum(map(score, background)) / len(background)
+    got = defaultdict(float)
+    for r in Q.shapley_leverage_budget(spark, sf).collect():
+        got[r["row_id"]] += r["phi"]
+    assert set(got) == {x["row_id"] for x in parts}
+    for x in parts:
+        assert abs(got[x["row_id"]] - (score(x) - base)) < 1e-6
+    assert {r["row_id"] for r in Q.shapley_monte_carlo(spark, sf).select("row_id").distinct().collect()} == set(got)
