@@ -32,6 +32,8 @@ ROTATIONS = 8
 RECALL, KEPT = 0.955, 0.985
 #: Entries of a share of a table, about, and rows that a task gathers before it deals them.
 SHARE, GATHER = 1 << 16, 1 << 16
+#: Tasks that share a query's ranking, so that one near a large group is no task's burden.
+SPLIT = 8
 #: Candidates looked at in one go.
 CHUNK = 1 << 20
 
@@ -281,12 +283,12 @@ def candidates(codes: Codes, index: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _rank(pairs: DataFrame, index: DataFrame, asked: DataFrame, k: int, kind: str) -> DataFrame:
-    """(qid, id, score): for each query (qid, v) the best 2 k of its candidates (qid, rid), at most k of one id. That is
-    enough for the k best whichever id is left out."""
+    """(qid, id, score): for each query (qid, v) and each of SPLIT shares of its candidates (qid, rid) the best 2 k, at most
+    k of one id. That is enough for the k best whichever id is left out."""
     n = partitions(index.sparkSession)
-    bucket = F.pmod(F.xxhash64("qid"), F.lit(4 * n)).cast("int").alias("bucket")
-    rows = pairs.join(index, "rid").select(bucket, "qid", "id", "v")
-    ask = asked.select(bucket, "qid", "v")
+    bucket = lambda split: F.pmod(F.xxhash64("qid", split), F.lit(4 * n)).cast("int").alias("bucket")
+    rows = pairs.join(index, "rid").select(bucket(F.pmod("rid", F.lit(SPLIT)).cast("int")), F.pmod("rid", F.lit(SPLIT)).cast("int").alias("split"), "qid", "id", "v")
+    ask = asked.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))).select(bucket(F.col("split")), "qid", "v").distinct()
     schema = f"qid long, id {kind}, score double"
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -303,10 +305,11 @@ def _rank(pairs: DataFrame, index: DataFrame, asked: DataFrame, k: int, kind: st
         score, x = np.empty(len(qid)), left.column("v")
         for i in range(0, len(qid), 1 << 14):
             score[i : i + (1 << 14)] = _scores(_matrix(x.slice(i, 1 << 14)), vectors[at[i : i + (1 << 14)]])
-        t = pa.table({"qid": qid, "id": left.column("id"), "minus": -score})
-        t = t.take(pa.compute.sort_indices(t, [("qid", "ascending"), ("minus", "ascending"), ("id", "ascending")]))
+        t = pa.table({"qid": qid, "split": left.column("split"), "id": left.column("id"), "minus": -score})
+        t = t.take(pa.compute.sort_indices(t, [("qid", "ascending"), ("split", "ascending"), ("minus", "ascending"), ("id", "ascending")]))
         keep, last, taken, many = [], None, 0, {}
-        for i, (q, key) in enumerate(zip(t.column("qid").to_pylist(), t.column("id").to_pylist(), strict=True)):
+        groups = zip(t.column("qid").to_pylist(), t.column("split").to_pylist(), strict=True)
+        for i, (q, key) in enumerate(zip(groups, t.column("id").to_pylist(), strict=True)):
             if q != last:
                 last, taken, many = q, 0, {}
             if taken < 2 * k and many.get(key, 0) < k:
@@ -383,7 +386,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     short = checkpointed(ask.join(of_id.filter(F.col("sure") >= k), "qid", "left_anti"))
     if not short.isEmpty():
         best = best.join(short.select("qid"), "qid", "left_anti").unionByName(_rank(_scan(index, short, total), index, short, k, kind))
-    lists = best.groupBy("qid").agg(F.collect_list(F.struct("score", "id")).alias("top"))  # at most 2 k each
+    lists = best.groupBy("qid").agg(F.collect_list(F.struct("score", "id")).alias("top"))  # at most 2 k SPLIT each
     by_vector = asked.select(F.col("id").alias("query_id"), "v").join(ask, "v").select("query_id", "qid")
     out = by_vector.join(lists, "qid").withColumn("top", F.filter("top", lambda x: x["id"] != F.col("query_id")))
     ordered = F.array_sort("top", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
