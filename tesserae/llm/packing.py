@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import json
 import os
 import re
 import struct
@@ -38,6 +39,16 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: Normalizer and pre-tokenizer of which words can be encoded one by one (fixed values of the tokenizer's file).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Characters outside these ranges, of which white space, letter case or class may be another in Python than in the
+#: tokenizer, send a text through the tokenizer whole: U+001C to U+001F, and scripts other than Latin, Greek, Cyrillic,
+#: punctuation, Han, kana, Hangul and pictures.
+_OTHER = re.compile("[^\x00-\x1b\x20-\u024f\u0370-\u0481\u2000-\u206f\u20a0-\u20bf\u2100-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f]")
+
+
 class _WordIds(dict):
     """Ids of a word as bytes, found once. A word of letters, in lower case and composed, is one pre-token, which the
     model's merges take as it is; any other goes through the whole tokenizer."""
@@ -45,6 +56,8 @@ class _WordIds(dict):
     def __init__(self, encoder):
         super().__init__()
         self.encode, self.merge = encoder.encode, encoder.model.tokenize
+        spec = json.loads(encoder.to_str())
+        self.by_word = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and not any(t["content"][:2] != "<|" or t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha() and word == word.lower() and "ς" not in word:
@@ -57,8 +70,9 @@ class _WordIds(dict):
 
 
 def tokenize(tokenizer_file: str):
-    """A function from a text to its ids as little-endian bytes. No token spans white space, which this tokenizer
-    drops, so words are encoded once and remembered for as long as the worker lives."""
+    """A function from a text to its ids as little-endian bytes. Where the tokenizer drops white space, so that no token
+    spans it, words are encoded once and remembered for as long as the worker lives; texts with characters that Python
+    may see otherwise than the tokenizer, and all texts of other tokenizers, are encoded whole."""
     import public_tokenizers
     import tokenizers
 
@@ -69,8 +83,9 @@ def tokenize(tokenizer_file: str):
         text = text or ""
         if len(cache) > CACHE:
             cache.clear()
-        if "<|" in text or not unicodedata.is_normalized("NFC", text):
-            return b"".join([struct.pack(f"<{len(i)}I", *i) for i in (cache.encode(w, add_special_tokens=False).ids for w in text.split())])
+        if not cache.by_word or "<|" in text or _OTHER.search(text) or not unicodedata.is_normalized("NFC", text):
+            ids = cache.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if "Σ" not in text:  # its lower case depends on its place
             text = _MARKS.sub(r" \1", text.lower())
         return b"".join([cache[w] for w in text.split()])
@@ -270,7 +285,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): each document's ids and then `end`, cut into
     pieces of the capacity, and each piece's place in a sequence without gaps.
 
-    tokenizer_file: a file, or a name known to public_tokenizers. Null and empty texts are the id `end` alone; null
+    tokenizer_file: a file of any tokenizer, or a name known to public_tokenizers. Null and empty texts are the id `end` alone; null
     ids and repeated rows are documents like others; documents of any length are cut, none is dropped. An empty
     table gives an empty result; other columns are left out.
     """
