@@ -1,16 +1,18 @@
 """Exact repeats of W consecutive symbols (bytes or words) over all texts.
 
-Each window of W symbols picks an anchor: its k-symbol gram of least hash. Equal windows pick equal grams, so
-
-1. anchors, a few per cent of all positions, are dealt by hash; a gram that occurs once in the corpus rules out
-   every window that picked it, which on most text is nearly all of them;
-2. for each other anchor its text's segment, all windows that picked it, goes to the bucket of its hash, where
-   equal windows always meet; a bucket finds the windows that occur earlier, by the method of the operator;
+1. Texts send hashed grams of k symbols, dealt by hash, to find those that may be part of a repeat. Of bytes these
+   are anchors: each window of W picks its k-gram of least hash, equal windows pick equal grams, and a gram that
+   occurs once rules out every window that picked it. Of words these are the non-overlapping reference blocks of all
+   texts, an index that every rolling window of k words probes; what hits no block of another text is ruled out.
+2. Windows that are left go to buckets in segments, runs of windows that share an anchor: by the anchor's hash, so
+   that equal windows meet, or, where a gram is hot, one by one by the whole window's hash. A bucket finds the windows
+   that occur earlier, by the method of the operator;
 3. the spans of these windows go back to their texts.
 
-Texts are moved once, by row id; all three steps read that one exchange. Copies of a text are set aside first, a
-task sends an anchor or a segment that it has seen twice only once, and so a group of copies or a common passage
-costs a bucket one row a task, however large it is.
+Texts are moved once, by row id; all three steps read that one exchange. Copies of a text are set aside first, and a
+task sends equal segments once. A gram that a task sees over LOCAL times, or a bucket over HOT times, is hot: what
+its bucket gets is a mark a task, and its windows are spread, so that neither a common passage nor a common phrase
+between different texts is the burden of one task.
 """
 
 from __future__ import annotations
@@ -28,25 +30,24 @@ from .common import partitions, remembered
 
 #: Symbols that are worked on at a time, at least one text.
 BATCH = 1 << 19
-#: Texts longer than this many symbols are cut into overlapping pieces.
-PIECE = 1 << 26
-#: Anchors or bytes of segments that a task gathers before it sends them.
-FLUSH_ANCHORS, FLUSH_BYTES = 1 << 20, 1 << 24
-#: Windows that a bucket's task sorts at a time, at least those of one gram.
-BLOCK = 1 << 18
+#: Texts longer than this many symbols are cut into overlapping pieces; a multiple of every gram's length.
+PIECE = 7 << 23
+#: Grams or bytes of segments that a task gathers before it sends them.
+FLUSH_GRAMS, FLUSH_BYTES = 1 << 20, 1 << 24
+#: A gram is hot that occurs more often than this among the grams that a task sends at a time, or in its bucket.
+LOCAL, HOT = 128, 1 << 14
 #: Words whose hash a worker remembers.
 CACHE = 1 << 18
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 _POS = np.uint64((1 << 28) - 1)
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 class Bytes:
-    """Windows of bytes of the UTF-8 text."""
+    """Windows of bytes of the UTF-8 text; `block`: windows that a bucket's task sorts at a time."""
 
-    window, gram = 100, 32
+    window, gram, block = 100, 32, 1 << 22
 
     def load(self, text: str | None) -> tuple[bytes, np.ndarray]:
         raw = (text or "").encode()
@@ -55,6 +56,9 @@ class Bytes:
     def cut(self, loaded: bytes, begin: int, end: int) -> bytes:
         return loaded[begin:end]
 
+    def windows(self, data: bytes) -> int:
+        return len(data) - self.window + 1
+
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         """Hash of the 32 bytes from each position."""
         padded = np.concatenate([symbols, np.zeros(8, "u1")])
@@ -68,6 +72,24 @@ class Bytes:
         h ^= h >> _S32
         return h
 
+    def asked(self, symbols: list[np.ndarray], offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash, whether it is a reference) of the grams that texts send: their anchors."""
+        batch = Batch(self, symbols)
+        first, _, h = batch.runs()
+        return batch.text(first), h, np.zeros(len(h), bool)
+
+    def left(self, batch: Batch, told: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, last window, hash) of the runs whose anchor repeats."""
+        first, last, h = batch.runs()
+        hit = np.isin(keys(h, buckets), told)
+        return first[hit], last[hit], h[hit]
+
+    def copies(self, joined: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether the windows at two places are equal, place by place."""
+        view = np.lib.stride_tricks.sliding_window_view(joined, self.window)
+        parts = [(view[at[i : i + 65536]] == view[of[i : i + 65536]]).all(axis=1) for i in range(0, len(at), 65536)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -76,9 +98,10 @@ class _Hashes(dict):
 
 
 class Words:
-    """Windows of words; a segment is its words with a space between."""
+    """Windows of words; a segment is its words with a space between. A gram is a block: the most words for which each
+    window holds a whole one of those at multiples of its length."""
 
-    window, gram = 13, 5
+    window, gram, block = 13, 7, 1 << 18
 
     def load(self, text: str | None) -> tuple[tuple[bytes, np.ndarray], np.ndarray]:
         words = (text or "").encode().split()
@@ -92,6 +115,9 @@ class Words:
         joined, at = loaded
         return joined[at[begin] : at[end] - 1]
 
+    def windows(self, data: bytes) -> int:
+        return data.count(b" ") - self.window + 2
+
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         n = len(symbols) - self.gram + 1
         h = symbols[:n].copy()
@@ -102,6 +128,25 @@ class Words:
         h ^= h >> _S32
         return h
 
+    def asked(self, symbols: list[np.ndarray], offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every rolling gram; those at multiples of its length are the reference blocks."""
+        batch = Batch(self, symbols)
+        at = batch.inside(self.gram)
+        text = batch.text(at)
+        return text, batch.g[at], (at - batch.base[text] + np.array(offsets)[text]) % self.gram == 0
+
+    def left(self, batch: Batch, told: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of windows that hold a block, or a rolling window, with a hit."""
+        at = batch.inside(self.gram)
+        hit = at[np.isin(keys(batch.g[at], buckets), told)]
+        step = np.zeros(len(batch.joined) + 2, "i8")
+        np.add.at(step, np.maximum(0, hit - (self.window - self.gram)), 1)
+        np.add.at(step, hit + 1, -1)
+        return batch.runs(np.cumsum(step)[: len(batch.joined)] > 0)
+
+    def copies(self, joined: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.zeros(len(at), bool)  # hashes of words don't prove it; the texts are compared later
+
 
 def window_minima(g: np.ndarray, width: int) -> np.ndarray:
     """For each run of `width` grams the place of the least, leftmost in ties (by the hash's leading 36 bits)."""
@@ -115,27 +160,48 @@ def window_minima(g: np.ndarray, width: int) -> np.ndarray:
     return (m & _POS).astype("i8")
 
 
-def anchor_runs(kind, symbols: list[np.ndarray]):
-    """Anchors of several texts' symbols: arrays (text, first window, last window, gram hash); places are within the text."""
-    lengths = np.array([len(s) for s in symbols])
-    ends = np.cumsum(lengths)
-    joined = np.concatenate(symbols)
-    if len(joined) < kind.window:
-        return (np.empty(0, "i8"),) * 3 + (np.empty(0, "u8"),)
-    g = kind.grams(joined)
-    least = window_minima(g, kind.window - kind.gram + 1)
-    step = np.zeros(len(joined) + 1, "i8")  # windows that reach into the next text don't count
-    np.add.at(step, np.maximum(ends - lengths, ends - kind.window + 1), 1)
-    np.add.at(step, ends, -1)
-    starts = np.flatnonzero(np.cumsum(step[: len(least)]) == 0)
-    if not starts.size:
-        return (np.empty(0, "i8"),) * 3 + (np.empty(0, "u8"),)
-    at = least[starts]
-    edge = np.flatnonzero(np.diff(at))
-    first, last = starts[np.concatenate([[0], edge + 1])], starts[np.concatenate([edge, [len(starts) - 1]])]
-    text = np.searchsorted(ends, first, "right")
-    base = (ends - lengths)[text]
-    return text, first - base, last - base, g[at[np.concatenate([[0], edge + 1])]]
+class Batch:
+    """Symbols of several texts one after the other; places count over all of them."""
+
+    def __init__(self, kind, symbols: list[np.ndarray]):
+        self.kind, lengths = kind, np.array([len(s) for s in symbols], "i8")
+        self.ends = np.cumsum(lengths)
+        self.base, self.joined = self.ends - lengths, np.concatenate(symbols)
+        self.g = kind.grams(self.joined) if len(self.joined) >= kind.window else np.empty(0, "u8")
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
+
+    def inside(self, size: int) -> np.ndarray:
+        """Places from which so many symbols are of the same text."""
+        step = np.zeros(len(self.joined) + 1, "i8")
+        np.add.at(step, np.maximum(self.base, self.ends - size + 1), 1)
+        np.add.at(step, self.ends, -1)
+        return np.flatnonzero(np.cumsum(step[:-1]) == 0)
+
+    def runs(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, last window, hash) of the runs of windows with a common anchor, of all windows or those to keep."""
+        starts = self.inside(self.kind.window)
+        if keep is not None:
+            starts = starts[keep[starts]]
+        if not starts.size:
+            return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "u8")
+        at = window_minima(self.g, self.kind.window - self.kind.gram + 1)[starts]
+        edge = np.flatnonzero((np.diff(at) != 0) | (np.diff(starts) != 1))
+        head = np.concatenate([[0], edge + 1])
+        return starts[head], starts[np.concatenate([edge, [len(starts) - 1]])], self.g[at[head]]
+
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+        kind, out = self.kind, np.zeros(len(at), "u8")
+        for i in [*range(0, kind.window - kind.gram, kind.gram), kind.window - kind.gram]:
+            out = (out ^ self.g[at + i]) * _M1
+            out ^= out >> _S29
+        return out
+
+
+def keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What is sent of a hash: its bucket and 32 bits."""
+    return (((h >> _S32) % np.uint64(buckets) << _S32) | (h & np.uint64(0xFFFFFFFF))).astype("i8")
 
 
 def _pieces(kind, rows: Iterable[tuple]) -> Iterator[list[tuple]]:
@@ -166,79 +232,107 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _split48(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(0xFFFFFFFF)).astype("u4"), (h >> _S32).astype("u2")
+def _unpack(blob: bytes, kind: str = "i8") -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-ANCHOR_ROWS = "bucket int, n int, known boolean, mark boolean, low binary, rids binary"
+#: What a row of grams is: grams of rows, asked or (reference) as part of the index; grams and rows that need no answer
+#: as their gram is hot; and the mark of hot grams for their bucket.
+ASKED, REFERENCE, TOLD, MARK = range(4)
+GRAM_ROWS = "bucket int, n int, sort int, grams binary, rids binary"
 
 
-def send_anchors(kind, buckets: int) -> Callable:
+def send_grams(kind, buckets: int) -> Callable:
     """Step 1 at the texts: (rid, text) to blobs of (gram, rid) by bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("mark", pa.bool_()), ("low", pa.binary()), ("rids", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("sort", pa.int32()), ("grams", pa.binary()), ("rids", pa.binary())])
 
-    def blobs(bucket, h, rid, known, mark=False):
-        order = np.lexsort((rid, bucket))
-        bucket, h, rid = bucket[order], h[order], rid[order]
+    def blobs(sort, bucket, gram, rid):
+        order = np.argsort(bucket.astype("u4"), kind="stable")
+        bucket, gram, rid = bucket[order], gram[order], rid[order]
         cut = np.flatnonzero(np.diff(bucket)) + 1
-        out = []
         for a, b in zip([0, *cut], [*cut, len(bucket)], strict=True):
             if b > a:
-                out.append((int(bucket[a]), int(b - a), known, mark, b"".join(x.tobytes() for x in _split48(h[a:b])), _pack(np.diff(rid[a:b], prepend=0))))
-        return out
-
-    def flush(h, rid):
-        order = np.argsort(h, kind="stable")
-        h, rid = h[order], rid[order]
-        same = h[1:] == h[:-1]
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        lead = twice & ~np.concatenate([[False], same])
-        # Grams seen twice here: their texts are told straight away, their bucket once (as a mark, of no row).
-        h48 = h & _LOW48
-        rows = blobs((rid[twice] % buckets).astype("i4"), h48[twice], rid[twice], True)
-        bucket = ((h >> _S32) % np.uint64(buckets)).astype("i4")
-        rows += blobs(bucket[~twice], h48[~twice], rid[~twice], False)
-        rows += blobs(bucket[lead], h48[lead], np.zeros(np.count_nonzero(lead), "i8"), False, True)
+                yield int(bucket[a]), int(b - a), sort, gram[a:b].tobytes(), _pack(np.diff(rid[a:b], prepend=0))
+
+    def flush(h, rid, ref):
+        # Hot grams are looked for among those that share their last bits with many.
+        cell = (h & np.uint64((1 << 20) - 1)).astype("i8")
+        maybe = np.flatnonzero(np.bincount(cell, minlength=1 << 20)[cell] > LOCAL)
+        key, rows = keys(h, buckets), []
+        gram, times = np.unique(key[maybe], return_counts=True)
+        hot = gram[times > LOCAL]
+        here = np.isin(key, hot) if hot.size else np.zeros(len(key), bool)
+        if hot.size:
+            pair = np.unique(np.stack([rid[here], key[here]]), axis=1)
+            rows += blobs(TOLD, pair[0] % buckets, pair[1], pair[0])
+            rows += blobs(MARK, hot >> 32, hot.astype("u4"), np.zeros(len(hot), "i8"))
+        for sort in (ASKED, REFERENCE):
+            i = np.flatnonzero(~here & (ref == (sort == REFERENCE)))
+            rows += blobs(sort, key[i] >> 32, key[i].astype("u4"), rid[i])
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches):
-        hs, rids, size = [], [], 0
+        hs, rids, refs, size = [], [], [], 0
         for batch in _pieces(kind, _rows(batches, 2)):
-            text, _, _, h = anchor_runs(kind, [p[3] for p in batch])
+            text, h, ref = kind.asked([p[3] for p in batch], [p[2] for p in batch])
             hs.append(h)
             rids.append(np.array([p[0][0] for p in batch])[text])
+            refs.append(ref)
             size += len(h)
-            if size >= FLUSH_ANCHORS:
-                yield flush(np.concatenate(hs), np.concatenate(rids))
-                hs, rids, size = [], [], 0
+            if size >= FLUSH_GRAMS:
+                yield flush(np.concatenate(hs), np.concatenate(rids), np.concatenate(refs))
+                hs, rids, refs, size = [], [], [], 0
         if size:
-            yield flush(np.concatenate(hs), np.concatenate(rids))
+            yield flush(np.concatenate(hs), np.concatenate(rids), np.concatenate(refs))
 
     return run
 
 
-def match_anchors(batches):
-    """Step 1 in the buckets: the grams that occur twice, as rows (rid, gram)."""
-    h, rid, marks, out = [np.empty(0, "u8")], [np.empty(0, "i8")], [np.empty(0, bool)], []
-    for n, known, mark, low, packed in (r[1:] for r in _rows(batches)):
-        grams = np.frombuffer(low, "u4", n).astype("u8") | (np.frombuffer(low, "u2", n, 4 * n).astype("u8") << _S32)
-        ids = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "i8"))
-        if known:
-            out.append((ids, grams))
+def match_grams(across_rows: bool) -> Callable:
+    """Step 1 in the buckets: rows (rid, gram, hot) of the grams that a text's windows can repeat by.
+
+    across_rows: of a gram with a reference in a row before, and of references with the gram in a row after; else of
+    grams that occur twice. Of a hot gram all rows are told, as they have to deal it in the same way.
+    """
+
+    def run(batches):
+        gram, rid, ref, marks = [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, bool)], [np.empty(0, "i8")]
+
+        def out(rid, gram, hot):
+            for i in range(0, len(rid), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(rid[part]), pa.array(gram[part]), pa.array(hot[part])], ["_rid", "gram", "hot"])
+
+        for bucket, n, sort, grams, rids in _rows(batches, 5):
+            ids = np.cumsum(_unpack(rids))
+            if sort == TOLD:
+                yield from out(ids, np.frombuffer(grams, "i8", n), np.ones(n, bool))
+                continue
+            key = np.frombuffer(grams, "u4", n).astype("i8") | bucket << 32
+            if sort == MARK:
+                marks.append(key)
+            else:
+                gram.append(key)
+                rid.append(ids)
+                ref.append(np.full(n, sort == REFERENCE))
+        gram, rid, ref = np.concatenate(gram), np.concatenate(rid), np.concatenate(ref)
+        if not len(gram):
+            return
+        order = np.argsort(gram)
+        gram, rid, ref = gram[order], rid[order], ref[order]
+        head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        size = np.diff(np.append(head, len(gram)))
+        hot = np.repeat((size > HOT) | np.isin(gram[head], np.concatenate(marks)), size)
+        if across_rows:
+            limit = np.iinfo("i8")
+            before = np.repeat(np.minimum.reduceat(np.where(ref, rid, limit.max), head), size)
+            after = np.repeat(np.maximum.reduceat(rid, head), size)
+            tell = hot | (before < rid) | (ref & (rid < after))
         else:
-            h.append(grams)
-            rid.append(ids)
-            marks.append(np.full(n, mark))
-    h, rid, marks = np.concatenate(h), np.concatenate(rid), np.concatenate(marks)
-    order = np.argsort(h)
-    h, rid, marks = h[order], rid[order], marks[order]
-    same = h[1:] == h[:-1]
-    # A gram that a task has seen twice comes as a mark, which makes any other a match.
-    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    out.append((rid[twice & ~marks], h[twice & ~marks]))
-    for ids, grams in out:
-        for i in range(0, len(ids), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(grams[i : i + (1 << 16)].astype("i8"))], ["_rid", "gram"])
+            tell = hot | np.repeat(size > 1, size)
+        yield from out(rid[tell], gram[tell], hot[tell])
+
+    return run
 
 
 class Segments:
@@ -284,16 +378,16 @@ SEGMENT_ROWS = "bucket int, n int, spans boolean, data binary"
 
 
 def send_segments(kind, buckets: int, across_rows: bool) -> Callable:
-    """Step 2 at the texts: (rid, text, grams that repeat) to blobs of segments by bucket, and spans known here."""
+    """Step 2 at the texts: (rid, text, grams told, those that are hot) to blobs of segments by bucket, and spans known
+    here."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("spans", pa.bool_()), ("data", pa.binary())])
-    windows = (lambda d: len(d) - kind.window + 1) if isinstance(kind, Bytes) else (lambda d: d.count(b" ") - kind.window + 2)
 
     def flush(parts):
         s = Segments.join(parts).in_order()
         kept, gone = s.without_copies(across_rows)
         rows = []
         if gone.size:
-            many = np.array([windows(s.data[i]) for i in gone.tolist()], "i8")
+            many = np.array([kind.windows(s.data[i]) for i in gone.tolist()], "i8")
             rows.append((int(s.rid[gone[0]] % buckets), len(gone), True, _pack(s.rid[gone], s.start[gone], many)))
         bucket = ((s.h[kept] >> _S32) % np.uint64(buckets)).astype("i4")
         order = np.lexsort((s.h[kept], bucket))
@@ -303,17 +397,45 @@ def send_segments(kind, buckets: int, across_rows: bool) -> Callable:
             rows.append((int(bucket[a]), int(b - a), False, s.take(kept[a:b]).blob()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
+    def alone(batch, rid, first, last):
+        """Windows of hot runs one by one, but for those that repeat one of an earlier row or place of the batch; and
+        the places of these."""
+        at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        at = at[np.lexsort((at, rid[batch.text(at)]))]
+        h = batch.window_hashes(at)
+        _, lead, same = np.unique(h, return_index=True, return_inverse=True)
+        lead = lead[same]
+        later = np.flatnonzero(lead != np.arange(len(at)))
+        if across_rows:
+            later = later[rid[batch.text(at[later])] != rid[batch.text(at[lead[later]])]]
+        copy = np.zeros(len(at), bool)
+        copy[later] = kind.copies(batch.joined, at[later], at[lead[later]])
+        return at[~copy], h[~copy], at[copy]
+
+    def known(batch, rid, offset, at):
+        text = batch.text(at)
+        schema_row = _pack(rid[text], at - batch.base[text] + offset[text], np.ones(len(at), "i8"))
+        return int(rid[text[0]] % buckets), len(at), True, schema_row
+
     def run(batches):
         parts, size = [], 0
-        for batch in _pieces(kind, _rows(batches, 3)):
-            text, first, last, h = anchor_runs(kind, [p[3] for p in batch])
-            wanted = np.unique(np.concatenate([np.array(p[0][2], "i8") for p in batch])).astype("u8")
-            hit = np.flatnonzero(np.isin(h & _LOW48, wanted))
-            if not hit.size:
+        for pieces in _pieces(kind, _rows(batches, 4)):
+            batch = Batch(kind, [p[3] for p in pieces])
+            told, hot = (np.unique(np.concatenate([np.array(p[0][c], "i8") for p in pieces])) for c in (2, 3))
+            rid, offset = np.array([p[0][0] for p in pieces], "i8"), np.array([p[2] for p in pieces], "i8")
+            first, last, h = kind.left(batch, told, buckets)
+            if not first.size:
                 continue
-            text, first, last = text[hit], first[hit] + np.array([p[2] for p in batch])[text[hit]], last[hit] + np.array([p[2] for p in batch])[text[hit]]
-            data = [kind.cut(batch[t][1], a, b + kind.window) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
-            parts.append(Segments(h[hit], np.array([p[0][0] for p in batch])[text], first, data))
+            spread = np.isin(keys(h, buckets), hot)
+            if spread.any():
+                at, own, copies = alone(batch, rid, first[spread], last[spread])
+                if copies.size:
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(known(batch, rid, offset, copies), schema.types, strict=True)], schema=schema)
+                first, last, h = (np.concatenate([a[~spread], b]) for a, b in ((first, at), (last, at), (h, own)))
+            text = batch.text(first)
+            first, last = (a - batch.base[text] + offset[text] for a in (first, last))
+            data = [kind.cut(pieces[t][1], a, b + kind.window) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+            parts.append(Segments(h, rid[text], first, data))
             size += sum(map(len, data))
             if size >= FLUSH_BYTES:
                 yield flush(parts)
@@ -336,26 +458,26 @@ def match_segments(kind, across_rows: bool, earlier: Callable) -> Callable:
     earlier(segments) gets the segments of some grams, in order, without copies, and returns (segment of each
     window, place in it, whether it occurs earlier) in order of segments and places.
     """
-    windows = (lambda d: len(d) - kind.window + 1) if isinstance(kind, Bytes) else (lambda d: d.count(b" ") - kind.window + 2)
 
     def run(batches):
         parts = []
-        for n, spans, data in (r[1:] for r in _rows(batches)):
+        for n, spans, data in (r[1:] for r in _rows(batches, 4)):
             if spans:
-                yield from _span_batches(*np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "i8").reshape(3, n))
+                yield from _span_batches(*_unpack(data).reshape(3, n))
             else:
                 parts.append(Segments.read(n, data))
         s = Segments.join(parts).in_order()
+        del parts
         kept, gone = s.without_copies(across_rows)
         if gone.size:
-            yield from _span_batches(s.rid[gone], s.start[gone], np.array([windows(s.data[i]) for i in gone.tolist()], "i8"))
+            yield from _span_batches(s.rid[gone], s.start[gone], np.array([kind.windows(s.data[i]) for i in gone.tolist()], "i8"))
         kept = kept[np.argsort(s.h[kept], kind="stable")]
-        many = np.array([windows(s.data[i]) for i in kept.tolist()], "i8")
+        many = np.array([kind.windows(s.data[i]) for i in kept.tolist()], "i8")
         total = np.cumsum(many)
         group = np.append(np.flatnonzero(np.diff(s.h[kept])) + 1, len(kept)) if len(kept) else np.empty(0, "i8")
         at = 0
         while at < len(kept):  # as many whole groups of a gram as fit, at least one
-            limit = np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, "right")
+            limit = np.searchsorted(total, (total[at - 1] if at else 0) + kind.block, "right")
             fit = group[(group > at) & (group <= limit)]
             end = int(fit[-1] if fit.size else group[group > at][0])
             block = s.take(np.sort(kept[at:end]))
@@ -384,9 +506,10 @@ def repeat_spans(rows: DataFrame, kind, across_rows: bool, earlier: Callable) ->
     rest = [c for c in rows.columns if c not in ("_rid", "_text")]
     firsts = rows.groupBy(F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256).alias("_sha")).agg(F.min("_rid").alias("_rid")).select("_rid").withColumn("_first", F.lit(True))
     heads = texts.join(firsts, "_rid").select("_rid", "_text", *rest)
-    asked = heads.mapInArrow(send_anchors(kind, buckets), ANCHOR_ROWS).repartition(n, "bucket")
-    twice = asked.mapInArrow(match_anchors, "_rid long, gram long").groupBy("_rid").agg(F.collect_set("gram").alias("_grams"))
-    shown = texts.join(twice, "_rid").select("_rid", "_text", "_grams", *rest)
+    asked = heads.mapInArrow(send_grams(kind, buckets), GRAM_ROWS).repartition(n, "bucket")
+    told = asked.mapInArrow(match_grams(across_rows), "_rid long, gram long, hot boolean")
+    told = told.groupBy("_rid").agg(F.collect_set("gram").alias("_grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("_hot"))
+    shown = texts.join(told, "_rid").select("_rid", "_text", "_grams", "_hot", *rest)
     sent = shown.mapInArrow(send_segments(kind, buckets, across_rows), SEGMENT_ROWS).repartition(n, "bucket")
     spans = sent.mapInArrow(match_segments(kind, across_rows, earlier), "_rid long, first long, many long")
     spans = spans.groupBy("_rid").agg(F.collect_list(F.struct("first", "many")).alias("spans"))

@@ -1,9 +1,10 @@
 """Substring dedup by fixed-block anchors.
 
-Texts are cut into non-overlapping reference blocks of 7 words at multiples of 7. Any window of 13 words contains
-exactly one whole block wherever it lies, so a window that occurs elsewhere is found when every rolling 7-word
-window of a text probes the index of blocks. A hit is extended by the words around it, as far as both texts agree;
-the windows of 13 words within the extension are the repeats, and runs of them the maximal exact repeats.
+Texts are cut into non-overlapping reference blocks of 7 words at multiples of 7, which are an index by hash, with the
+rows they are of. Any window of 13 words contains exactly one whole block wherever it lies, so a window that occurs
+elsewhere is found when every rolling 7-word window of a text probes the index (step 1 in repeats.py). Hits are
+extended by the words around them, as far as both texts agree; the windows of 13 words within the extension are the
+repeats, and runs of them the maximal exact repeats.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .common import with_row_ids
 from .repeats import Segments, Words, covered, repeat_spans
 
 #: Words of a block: the most for which each window of 13 words holds a whole one.
-BLOCK_WORDS = 7
+BLOCK_WORDS = Words.gram
 
 
 def _ranks(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:

@@ -1,10 +1,11 @@
-"""Suffix-array dedup: blockwise suffix sorting with a difference cover.
-
-A bucket holds the suffixes that share their anchor's hash range; its blocks are sorted one at a time. Suffixes are
-sorted by their first bytes, as many as the cover's period. Those that tie are compared through the cover sample:
-for any two places some shift below the period brings both onto sampled places, whose ranks, found beforehand by
-doubling steps of the period, compare all the next bytes at once. So ties of any kind cost one look at two ranks,
-and memory is that of one block and its sample.
+"""Suffix-array dedup: difference-cover blockwise construction.
+
+A task holds the segments of its grams (see repeats.py) and works on a block of them at a time. First the ranks of a
+difference-cover sample of the block's places are found, by doubling steps of the cover's period. Then the suffixes
+are dealt into buckets, ranges of their first bytes, and one bucket after the other is sorted: by the first 16 bytes,
+and where these tie by the sample, as for any two places some shift below the period brings both onto sampled places,
+whose ranks compare all the next bytes at once. So ties of any kind cost one look at two ranks, and memory is that of
+one block's text, its sample and a bucket.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .repeats import Bytes, Segments, covered, repeat_spans
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes that a sample's rank compares: six periods, by doubling 1, 2, 4 and adding 2.
 RANKED = 6 * PERIOD
+#: Suffixes of a bucket, about; those that share eight bytes stay together.
+BUCKET = 1 << 17
+
+_SLOT = np.array([COVER.index(r) if r in COVER else -1 for r in range(PERIOD)])
 
 
 def shifts(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np.ndarray:
@@ -31,15 +36,12 @@ def shifts(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np.ndarray:
     return both.argmax(axis=2)
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number that sorts like them."""
-    padded = np.concatenate([data, np.zeros(8, "u1")])
-    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype("u8")
+_SHIFTS = shifts()
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """Rank of each row by its keys, first key first; equal rows share a rank."""
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), "i8")
     for k in keys:
         s = k[order]
@@ -49,85 +51,110 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_ranks(word: np.ndarray, phase: np.ndarray, left: np.ndarray, needed: np.ndarray) -> np.ndarray:
-    """Rank, among all sampled places, of the RANKED bytes from each sampled place that has so many left; else -1.
-
-    phase: place in its document modulo the period; left: bytes left in the segment; needed: whether a place counts.
-    """
-    n = len(word)
-    inside = np.isin(np.arange(PERIOD), COVER)[phase] & needed
-
-    def ranks(size: int, head: np.ndarray | None, tail: np.ndarray | None, gap: int) -> np.ndarray:
-        at = np.flatnonzero(inside & (left >= size))
-        out = np.full(n, -1, "i4")
-        if at.size:
-            out[at] = _dense(word[at], word[at + size - 8]) if head is None else _dense(head[at].astype("i8") * n + tail[at + gap])
-        return out
-
-    one = ranks(PERIOD, None, None, 0)
-    two = ranks(2 * PERIOD, one, one, PERIOD)
-    four = ranks(4 * PERIOD, two, two, 2 * PERIOD)
-    return ranks(RANKED, four, two, 4 * PERIOD)
-
-
-def equal_classes(word: np.ndarray, phase: np.ndarray, left: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """A number for each suffix, at places `at`, that is the same for those with equal first `window` bytes."""
-    label = np.arange(len(at))
-    if not len(at):
-        return label
-    first, second = word[at], word[at + 8]
-    order = np.lexsort((second, first))
-    new = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])])
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    tied = size[group] > 1
-    todo, group = order[tied], group[tied]
-    if not todo.size:
-        return label
-    needed = np.zeros(len(word) + 1, "i8")
-    np.add.at(needed, at[todo], 1)
-    np.add.at(needed, at[todo] + window, -1)
-    rank = sample_ranks(word, phase, left, np.cumsum(needed)[:-1] > 0)
-    table, tails = shifts(), (window - 24, window - 16, window - 8)
-    while todo.size:  # quicksort of all groups at once: each against its middle suffix
-        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.append(head, len(group)))
-        pivot = np.repeat(todo[head + size // 2], size)
-        i, p = at[todo], at[pivot]
-        d = table[phase[i], phase[p]]
-        less = np.sign(rank[i + d].astype("i8") - rank[p + d])
-        for t in tails:
-            open_ = np.flatnonzero(less == 0)
-            x, y = word[i[open_] + t], word[p[open_] + t]
-            less[open_] = (x > y).astype("i8") - (x < y)
-        same = less == 0
-        label[todo[same]] = pivot[same]
-        rest = ~same
-        todo, key = todo[rest], group[rest] * 2 + (less[rest] > 0)
-        back = np.argsort(key, kind="stable")
-        todo, key = todo[back], key[back]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if key.size else np.empty(0, bool)
+class Suffixes:
+    """Strings one after the other, each from a place with its own phase in the period, and their sample's ranks."""
+
+    def __init__(self, parts: list[bytes], phase: np.ndarray):
+        size = np.array([len(p) for p in parts], "i8")
+        slots = -(-(phase + size) // PERIOD)
+        self.periods = int(slots.sum())
+        self.base = PERIOD * (np.cumsum(slots) - slots) + phase
+        self.data = np.zeros(PERIOD * self.periods + 2 * PERIOD, "u1")
+        place = np.repeat(self.base - (np.cumsum(size) - size), size)
+        place += np.arange(len(place))
+        self.data[place] = np.frombuffer(b"".join(parts), "u1")
+        self.word = np.ndarray(len(self.data) - 7, ">u8", self.data, strides=(1,))
+        self.rank = self.sample_ranks()
+
+    def eight(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place as a number that sorts like them."""
+        return self.word[at].astype("u8")
+
+    def sample_ranks(self) -> np.ndarray:
+        """Rank, among all sampled places, of the RANKED bytes from each; four places a period, in order."""
+        at = (np.arange(self.periods)[:, None] * PERIOD + np.array(COVER)).ravel()
+        many = len(COVER)
+
+        def both(head: np.ndarray, tail: np.ndarray, periods: int) -> np.ndarray:
+            later = np.concatenate([tail[periods * many :], np.zeros(min(len(tail), periods * many), "i8")])
+            return _dense(head * (int(tail.max(initial=0)) + 1) + later)
+
+        one = _dense(self.eight(at), self.eight(at + PERIOD - 8))
+        two = both(one, one, 1)
+        four = both(two, two, 2)
+        return both(four, two, 4).astype("i4")
+
+    def compare(self, i: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Order (-1, 0, 1) of the RANKED bytes from some place below the period on, the same for both."""
+        d = _SHIFTS[i % PERIOD, p % PERIOD]
+        at = lambda x: x // PERIOD * len(COVER) + _SLOT[x % PERIOD]
+        return np.sign(self.rank[at(i + d)].astype("i8") - self.rank[at(p + d)])
+
+    def classes(self, at: np.ndarray, window: int) -> np.ndarray:
+        """A number for each suffix, at places `at`, that is the same for those with equal first `window` bytes."""
+        label = np.arange(len(at))
+        if not len(at):
+            return label
+        first, second = self.eight(at), self.eight(at + 8)
+        order = np.lexsort((second, first))
+        new = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])])
         group = np.cumsum(new) - 1
-        size = np.bincount(group) if group.size else np.empty(0, "i8")
-        tied = size[group] > 1 if group.size else np.empty(0, bool)
-        todo, group = todo[tied], group[tied]
-    return label
+        size = np.bincount(group)
+        tied = size[group] > 1
+        todo, group = order[tied], group[tied]
+        tails = (window - 24, window - 16, window - 8)
+        while todo.size:  # quicksort of all groups at once: each against its middle suffix
+            head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.append(head, len(group)))
+            pivot = np.repeat(todo[head + size // 2], size)
+            i, p = at[todo], at[pivot]
+            less = self.compare(i, p)
+            for t in tails:
+                open_ = np.flatnonzero(less == 0)
+                x, y = self.eight(i[open_] + t), self.eight(p[open_] + t)
+                less[open_] = (x > y).astype("i8") - (x < y)
+            same = less == 0
+            label[todo[same]] = pivot[same]
+            rest = ~same
+            todo, key = todo[rest], group[rest] * 2 + (less[rest] > 0)
+            back = np.argsort(key, kind="stable")
+            todo, key = todo[back], key[back]
+            new = np.concatenate([[True], key[1:] != key[:-1]]) if key.size else np.empty(0, bool)
+            group = np.cumsum(new) - 1
+            size = np.bincount(group) if group.size else np.empty(0, "i8")
+            tied = size[group] > 1 if group.size else np.empty(0, bool)
+            todo, group = todo[tied], group[tied]
+        return label
+
+    def buckets(self, at: np.ndarray):
+        """The suffixes at places `at`, by number, in buckets: ranges of their first eight bytes, least first."""
+        many = -(-len(at) // BUCKET)
+        if many < 2:
+            yield np.arange(len(at))
+            return
+        first = self.eight(at)
+        some = np.sort(first[:: max(1, len(first) // (64 * many))])
+        cuts = np.unique(some[:: max(1, len(some) // many)][1:])
+        bucket = np.searchsorted(cuts, first, "right").astype("u2" if len(cuts) < 65535 else "u4")
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(len(cuts) + 2))
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield order[a:b]
 
 
 def earlier_windows(block: Segments, window: int = Bytes.window):
     """Whether each window of the block's segments has an equal one in an earlier segment or place."""
-    data = np.frombuffer(b"".join(block.data), "u1")
-    size = np.array([len(d) for d in block.data], "i8")
-    base = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(data)) - base[owner]
-    left = size[owner] - place
-    phase = (block.start[owner] + place) % PERIOD
-    at = np.flatnonzero(left >= window)
-    label = equal_classes(_words(data), phase, left, at, window)
-    first = np.full(len(at), len(at))
-    np.minimum.at(first, label, np.arange(len(at)))
-    return owner[at], place[at], first[label] != np.arange(len(at))
+    suffixes = Suffixes(block.data, block.start % PERIOD)
+    many = np.array([len(d) for d in block.data], "i8") - window + 1
+    owner = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    at, old = suffixes.base[owner] + place, np.zeros(len(owner), bool)
+    for part in suffixes.buckets(at):
+        label = suffixes.classes(at[part], window)
+        first = np.full(len(part), len(at))
+        np.minimum.at(first, label, part)
+        old[part] = first[label] != part
+    return owner, place, old
 
 
 def without(raw: bytes, runs: list[tuple[int, int]]) -> str:
