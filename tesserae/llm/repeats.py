@@ -236,9 +236,9 @@ def _unpack(blob: bytes, kind: str = "i8") -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-#: What a row of grams is: grams of rows, asked or (reference) as part of the index; grams and rows that need no answer
-#: as their gram is hot; and the mark of hot grams for their bucket.
-ASKED, REFERENCE, TOLD, MARK = range(4)
+#: What a row of grams is: grams of rows, with a bit each that tells whether it is part of the index; grams and rows that
+#: need no answer as their gram is hot; and the mark of hot grams for their bucket.
+ASKED, TOLD, MARK = range(3)
 GRAM_ROWS = "bucket int, n int, sort int, grams binary, rids binary"
 
 
@@ -246,13 +246,14 @@ def send_grams(kind, buckets: int) -> Callable:
     """Step 1 at the texts: (rid, text) to blobs of (gram, rid) by bucket."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("sort", pa.int32()), ("grams", pa.binary()), ("rids", pa.binary())])
 
-    def blobs(sort, bucket, gram, rid):
+    def blobs(sort, bucket, gram, rid, ref=None):
         order = np.argsort(bucket.astype("u4"), kind="stable")
         bucket, gram, rid = bucket[order], gram[order], rid[order]
+        bits = (lambda a, b: b"") if ref is None else lambda a, b: np.packbits(ref[order[a:b]]).tobytes()
         cut = np.flatnonzero(np.diff(bucket)) + 1
         for a, b in zip([0, *cut], [*cut, len(bucket)], strict=True):
             if b > a:
-                yield int(bucket[a]), int(b - a), sort, gram[a:b].tobytes(), _pack(np.diff(rid[a:b], prepend=0))
+                yield int(bucket[a]), int(b - a), sort, gram[a:b].tobytes() + bits(a, b), _pack(np.diff(rid[a:b], prepend=0))
 
     def flush(h, rid, ref):
         # Hot grams are looked for among those that share their last bits with many.
@@ -266,9 +267,8 @@ def send_grams(kind, buckets: int) -> Callable:
             pair = np.unique(np.stack([rid[here], key[here]]), axis=1)
             rows += blobs(TOLD, pair[0] % buckets, pair[1], pair[0])
             rows += blobs(MARK, hot >> 32, hot.astype("u4"), np.zeros(len(hot), "i8"))
-        for sort in (ASKED, REFERENCE):
-            i = np.flatnonzero(~here & (ref == (sort == REFERENCE)))
-            rows += blobs(sort, key[i] >> 32, key[i].astype("u4"), rid[i])
+        i = np.flatnonzero(~here)
+        rows += blobs(ASKED, key[i] >> 32, key[i].astype("u4"), rid[i], ref[i])
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches):
@@ -314,7 +314,7 @@ def match_grams(across_rows: bool) -> Callable:
             else:
                 gram.append(key)
                 rid.append(ids)
-                ref.append(np.full(n, sort == REFERENCE))
+                ref.append(np.unpackbits(np.frombuffer(grams, "u1", offset=4 * n), count=n).astype(bool))
         gram, rid, ref = np.concatenate(gram), np.concatenate(rid), np.concatenate(ref)
         if not len(gram):
             return
