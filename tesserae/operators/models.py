@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import seeded
+from tesserae.operators.relational import SPLIT_BITS
+from tesserae.sources.store import numbered
 
+#: Scores of a block in whose order running sums are made by one task: 2 ** 16.
+BLOCK_BITS = 16
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -55,9 +59,15 @@ def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, own.alias("proba"), F.col("prediction").cast("int").alias("prediction"))
 
 
+#: Labels at most; their codes are sent to every task.
+MAX_LABELS = 10_000
+
+
 def encode_label(df: DataFrame, label: str) -> DataFrame:
-    """Label as codes from 0 by order of value."""
+    """Label as codes from 0 by order of value; null stays null. There are at most MAX_LABELS, which is checked."""
     values = df.select(label).filter(F.col(label).isNotNull()).distinct()
+    if values.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     codes = values.withColumn("_code", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
     return df.join(F.broadcast(codes), label, "left").drop(label).withColumnRenamed("_code", label)
 
@@ -72,18 +82,30 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve: the chance that a positive outranks a negative, ties half. Counts are summed by score
-    first, and what is sorted is the distinct scores."""
-    per = df.groupBy(score).agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    first; the distinct scores, which may be as many as the rows, are numbered over all partitions, and running sums
+    are those of a block of numbers after those of the blocks before."""
+    per = df.groupBy(F.col(score).alias("score")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) == 0, 1)).alias("neg"))
+    per = numbered(per, [F.col("score")], "number", 0).withColumn("block", F.shiftright("number", BLOCK_BITS))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy("block").agg(F.sum("neg").alias("neg"))
+    blocks = blocks.select("block", F.coalesce(F.sum("neg").over(before(Window.orderBy("block"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("neg").over(before(Window.partitionBy("block").orderBy("number"))), F.lit(0))
+    less = per.withColumn("inside", inside).join(blocks, "block").withColumn("less", F.col("base") + F.col("inside"))
     wins = F.sum(F.col("pos") * (2 * F.col("less") + F.col("neg")))
-    return per.agg(F.try_divide(wins.cast("double"), (2 * F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    return less.agg(F.try_divide(wins.cast("double"), (2 * F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
-    """Adds fold: each label's rows dealt in turn in order of a seeded hash."""
-    w = Window.partitionBy(label).orderBy(seeded(F.col(key), seed), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """Adds fold: each label's rows dealt in turn in order of a seeded hash. They are numbered within label and leading
+    bits of the hash, after the rows of the buckets before, so that a label is no one task's."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), seeded(F.col(key), seed).alias("h"))
+    rows = rows.withColumn("bucket", F.shiftright("h", SPLIT_BITS))
+    upto = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("label").alias("_label"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h", "key")) - 1
+    out = rows.withColumn("place", place).join(counts, F.col("label").eqNullSafe(F.col("_label")) & (F.col("bucket") == F.col("_bucket")))
+    return out.select("row.*", ((F.col("base") + F.col("place")) % k).cast("int").alias("fold"))
 
 
 def search(df: DataFrame, key: str, label: str, fit: Callable[..., PipelineModel], grid: dict[str, list], tries: int = 10, k: int = 2, seed: int = 0) -> list[tuple[float, dict]]:

@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tesserae.functions.scalars import bin_of, in_interval, interval_bounds, quantile_edges, seeded
+from tesserae.sources.store import numbered
+
+#: Bits of a seeded hash below those that a split counts rows by: 2 ** 16 buckets of a label.
+SPLIT_BITS = 16
 
 
 def top1(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -18,9 +21,9 @@ def top1(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Codes from 0 by order of value; only the distinct values are sorted."""
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(out, F.dense_rank().over(Window.orderBy(column)) - 1)
+    """Codes from 0 by order of value; only the distinct values are sorted, over all partitions."""
+    values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    codes = numbered(values, [F.col("value")], "code", 0).select(F.col("value").alias(column), F.col("code").cast("int").alias(out))
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
@@ -122,11 +125,26 @@ def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int) -> Data
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float, seed: int) -> DataFrame:
-    """Adds `split`: of each label's rows, in order of a seeded hash, round(share * rows) are test, the others train."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(seeded(F.col(key), seed), key))
-    cut = F.floor(F.count("*").over(w) * test_share + 0.5)
-    return df.withColumn("split", F.when(rank <= cut, "test").otherwise("train"))
+    """Adds `split`: of each label's rows, in order of a seeded hash, round(share * rows) are test, the others train.
+
+    A label may hold any share of the rows: they are counted by label and leading bits of the hash, and only the one
+    bucket of each label in which the test rows end is sorted. Rows of equal hash and key are split by nothing and
+    stay together in arbitrary order. A null label is a label of its own.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(label).alias("label"), F.col(key).alias("key"), seeded(F.col(key), seed).alias("h"))
+    rows = rows.withColumn("bucket", F.shiftright("h", SPLIT_BITS))
+    counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("label")
+    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("want", F.floor(F.sum("n").over(w) * test_share + 0.5))
+    edges = counts.filter("upto - n < want and upto >= want").select("label", F.col("bucket").alias("edge"), (F.col("want") - F.col("upto") + F.col("n")).alias("left"))
+    # At most a row a label; labels are joined null-safe.
+    edges = edges.select(F.col("label").alias("_label"), "edge", "left")
+    marked = rows.join(edges, F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")
+    inside = F.col("bucket") == F.col("edge")
+    rank = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h", "key"))
+    near = marked.filter(inside).withColumn("split", F.when(rank <= F.col("left"), "test").otherwise("train"))
+    far = marked.filter(~F.coalesce(inside, F.lit(False))).withColumn("split", F.when(F.col("bucket") < F.col("edge"), "test").otherwise("train"))
+    return near.select("row.*", "split").unionByName(far.select("row.*", "split"))
 
 
 def median_label(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -154,6 +172,4 @@ def conditional_update(df: DataFrame, updates: list[tuple[str, Column, Column]])
 
 def surrogate_ids(df: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
     """Whole numbers in order of columns, nulls last; a sort over all partitions, no single one holds the table."""
-    ordered = df.sort(*[F.col(c).asc_nulls_last() for c in order])
-    schema = T.StructType([T.StructField(out, T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0])), schema)
+    return numbered(df, [F.col(c).asc_nulls_last() for c in order], out, first)
