@@ -1,13 +1,13 @@
-"""What the operators share: checkpoints, partition counts, row keys and joins with small tables."""
+"""What the operators share: partition counts, row keys and joins with small tables."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tesserae.sources.store import checkpointed, numbered
 
 #: Word separators: space and U+0009 to U+000D, in Java and RE2 syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,17 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it from there: its lineage ends.
-
-    Only where the session names no folder (tests, a laptop) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def remembered(name: str, make):
     """What make() returned when a worker first asked for the name; kept as long as that Python worker lives."""
     kept = vars(sys).setdefault("_tesserae_kept", {})
@@ -86,7 +75,5 @@ def with_row_ids(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ..
     if has_plain_ids(df, "_id"):
         rid = F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_rid")  # so that Spark knows it is never null
         return df.select(rid, *df.columns), True
-    ordered = df.sort(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first())
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    schema = T.StructType([T.StructField("_rid", T.LongType(), False), *df.schema.fields])
-    return checkpointed(df.sparkSession.createDataFrame(numbered, schema)), False
+    out = numbered(df, [F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first()], "_rid", 0)
+    return checkpointed(out.withColumn("_rid", F.coalesce("_rid", F.lit(0).cast("long")))), False

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions
+from .common import checkpointed, join_small, partitions
 
 
 class Forest:
@@ -70,12 +70,11 @@ def components(links: DataFrame) -> DataFrame:
         if edges.filter("moved").isEmpty():
             break
     tree = edges.select("u", "v")
-    while True:
+    while True:  # the ends that are no roots, once each, so that a hub is no task's burden
         up = tree.select(F.col("u").alias("v"), F.col("v").alias("_up"))
-        step = tree.join(up, "v", "left").select("u", F.coalesce("_up", "v").alias("v"), F.col("_up").isNotNull().alias("rose"))
-        step = checkpointed(step)
-        tree = step.select("u", "v")
-        if step.filter("rose").isEmpty():
+        up = checkpointed(up.join(tree.select("v").distinct(), "v"))
+        if up.isEmpty():
             break
+        tree = checkpointed(join_small(tree, up, "v", F.col("u")).select("u", F.coalesce("_up", "v").alias("v")))
     roots = tree.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return tree.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

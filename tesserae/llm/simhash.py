@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, with_row_ids
+from .common import checkpointed, join_small, partitions, with_row_ids
 from .components import Forest, components
 
 #: Number of reference fingerprints; they follow from their number alone.
@@ -346,12 +346,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = checkpointed(fps.select("k._rid", "k._id", "fp"))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("_rid").alias("node")))
     roots = components(near_links(nodes, radius))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("root"))
-    out = fps.join(named, "fp")
+    named = checkpointed(nodes.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("root")))
+    # Of equal texts and of large components there may be any number: their rows are spread.
     if plain:
-        out = out.withColumn("component_id", F.col("root"))
+        named = named.withColumn("component_id", F.col("root"))
     else:
-        out = out.join(fps.select(F.col("_rid").alias("root"), F.col("_id").alias("component_id")), "root")
+        ids = fps.join(named.select(F.col("root").alias("_rid")).distinct(), "_rid").select(F.col("_rid").alias("root"), F.col("_id").alias("component_id"))
+        named = checkpointed(join_small(named, checkpointed(ids), "root", F.col("fp"), "inner"))
+    out = join_small(fps, named, "fp", F.col("_rid"), "inner")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(df.schema[id_col].dataType).alias("component_id"))
 
 
