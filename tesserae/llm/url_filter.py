@@ -59,10 +59,14 @@ class BloomCascade:
         if bits > MAX_BITS:
             raise ValueError(f"{n} keys need {bits} bits in one level; split the list")
         at = keys.select(F.explode(F.array(*_positions(F.col("key"), len(self.levels), bits, hashes))).alias("p"))
-        words = at.groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("set"))
-        entries = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("m"))
-        row = entries.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("words"))
-        row = checkpointed(row)
+        parts = at.select(F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("set"))
+        every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("set"))
+        words = parts.union(every).groupBy("word").agg(F.bit_or("set").alias("set"))
+        # In order of place, in blocks first: each word is looked at a few times, whatever their number.
+        blocks = words.groupBy(F.shiftright("word", 12).alias("block")).agg(F.array_sort(F.collect_list(F.struct("word", "set"))).alias("part"))
+        blocks = blocks.select("block", F.transform("part", lambda x: x["set"]).alias("part"))
+        row = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("b"))
+        row = checkpointed(row.select(F.flatten(F.transform("b", lambda x: x["part"])).alias("words")))
         # A short filter is a constant of the plan; a long one is read once, by a scalar subquery.
         words_ = F.array(*[F.lit(w).cast("long") for w in row.first()["words"]]) if bits <= CONSTANT_BITS else row.scalar()
         self.levels.append((bits, hashes, words_))
