@@ -37,17 +37,24 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if width < 1 or height < 1 or not 0 < top < 65536:
         raise ValueError("bad header")
     n, dtype = width * height * depth, np.dtype(">u2" if top > 255 else "u1")
+    if n > 8 * len(data):  # a sample takes a bit at least
+        raise ValueError("samples are missing")
     if kind == 1:
         bits = re.sub(rb"#[^\r\n]*|[^01]", b"", data[at:])
         out = np.frombuffer(bits[:n], "u1") == ord("1")
     elif kind in (2, 3):
-        out = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], dtype="i8").astype(dtype)
+        out = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], dtype="i8")
+        if out.size and not 0 <= out.min() <= out.max() <= top:
+            raise ValueError("a sample is over the maximum")
+        out = out.astype(dtype)
     elif kind == 4:
         stride = -(-width // 8)
         rows = np.frombuffer(data, "u1", stride * height, at + 1).reshape(height, stride)
         return np.unpackbits(rows, axis=1)[:, :width].astype(bool)
     else:
         out = np.frombuffer(data, dtype, n, at + 1)
+        if out.max() > top:
+            raise ValueError("a sample is over the maximum")
     if out.size != n:
         raise ValueError("samples are missing")
     out = out.astype(dtype.newbyteorder("=")) if out.dtype != bool else out
@@ -63,6 +70,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if header < 40 or method not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width < 1 or height == 0:
         raise ValueError("this kind of BMP is not supported")
     stride = -(-width * bits // 32) * 4
+    if stride * abs(height) > len(data):
+        raise ValueError("pixels are missing")
     rows = np.frombuffer(data, "u1", stride * abs(height), start).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits >= 24:
@@ -120,6 +129,10 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def read_npy(data: bytes) -> np.ndarray:
+    return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
+
+
 def tiles(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The image resized to THUMB x THUMB and cut: uint8 (tiles, TILE, TILE), row by row, and their hashes."""
     small = np.clip(np.rint(area_resize(grey(image), THUMB, THUMB)), 0, 65535)
@@ -150,7 +163,7 @@ def media_features(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     image = decode(data)
                     cut, hashes = tiles(image)
                     row |= {"height": image.shape[0], "width": image.shape[1], "channels": image.shape[2] if image.ndim == 3 else 1, "hash": f"{int(difference_hash(grey(image))):016x}", "tiles": [{"npy": npy(t), "hash": f"{int(h):016x}"} for t, h in zip(cut, hashes, strict=True)]}
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, struct.error, IndexError) as e:
                     row["error"] = str(e)
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=target)
@@ -172,12 +185,13 @@ def store_text(text: str | None) -> tuple[int, bytes]:
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """Store each text as an image, read it back and hash what was read.
 
-    Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and, if
-    asked for, media. feature: the image's difference hash and those of its tiles, in hex. Null and empty texts are
-    one row of zeros; equal texts get equal values whatever their id; repeated rows and null ids stay rows.
+    Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tiles and, if
+    asked for, media. tiles: the area-resized image as NPY files. feature: the image's difference hash and those of the
+    tiles, as read from these files, in hex. Null and empty texts are one row of zeros; equal texts get equal values
+    whatever their id; repeated rows and null ids stay rows; other columns are left out; an empty table stays empty.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>"
     schema += ", media binary" if with_media else ""
 
     def run(batches):
@@ -187,9 +201,10 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 n, stored = store_text(text.as_py())
                 image = decode(stored)
                 payload = image.tobytes()
-                _, hashes = tiles(image)
+                written = [npy(t) for t in tiles(image)[0]]
+                hashes = difference_hash(np.stack([read_npy(t) for t in written]))
                 feature = f"{int(difference_hash(image)):016x}:" + "".join(f"{int(h):016x}" for h in hashes)
-                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, *[stored] * with_media))
+                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, written, *[stored] * with_media))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * (len(target) - 1), target.types[1:], strict=True)]], schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -83,3 +83,39 @@ def test_texts_round_trip(spark):
         assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
     assert out[21]["feature"] == out[24]["feature"]  # null and empty
     assert M.text_media(frame(spark, [])).count() == 0
+
+
+def test_broken_headers_and_samples_are_errors(spark):
+    files = [b"P5 99999999999999 99999999999999 255", b"P2 2 1 255 1 " + b"9" * 26, b"P2 2 1 44 300 1", b"P5 2 1 10 \x0b\x01", b"P4 99999999999 9999999999 ", b"BM" + b"\x7f" * 60, b"P3 1 1 255 -1 2 3"]
+    df = spark.createDataFrame(list(enumerate(files)), "id int, media binary")
+    out = M.media_features(df, "id", "media").collect()
+    assert len(out) == len(files) and all(r["error"] and r["hash"] is None and r["tiles"] is None for r in out)
+
+
+def test_features_like_a_plain_computation(spark):
+    def mean(image, top, bottom, left, right):  # over an exact area, pixel by pixel
+        total = 0.0
+        for y in range(int(top), min(image.shape[0], int(np.ceil(bottom)))):
+            for x in range(int(left), min(image.shape[1], int(np.ceil(right)))):
+                total += float(image[y, x]) * (min(bottom, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+        return total / ((bottom - top) * (right - left))
+
+    def resized(image, rows, columns):
+        h, w = image.shape
+        return np.array([[mean(image, h * i / rows, h * (i + 1) / rows, w * j / columns, w * (j + 1) / columns) for j in range(columns)] for i in range(rows)])
+
+    def bits(image):
+        small = np.round(resized(image, 8, 9), 6)
+        return f"{int(''.join(str(int(a < b)) for r in small for a, b in zip(r, r[1:])), 2):016x}"
+
+    rows = [(1, "a few words " * 30), (None, None), (2, ""), (2, "é" * 100), (3, "a few words " * 30)]
+    out = M.text_media(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 5 and sum(r["doc_id"] is None for r in out) == 1 and sum(r["doc_id"] == 2 for r in out) == 2
+    for r in out:
+        text = next(t for i, t in rows if i == r["doc_id"] and len((t or "").encode()) == r["n_bytes"])
+        raw = (text or "").encode().ljust(r["payload_bytes"], b"\0")
+        image = np.frombuffer(raw, "u1").reshape(-1, 64)
+        small = np.rint(np.round(resized(image, 32, 32), 9))
+        cut = [small[y : y + 16, x : x + 16] for y in (0, 16) for x in (0, 16)]
+        assert r["feature"] == bits(image) + ":" + "".join(bits(c) for c in cut)
+        assert all(np.array_equal(M.read_npy(bytes(t)), c) for t, c in zip(r["tiles"], cut, strict=True))

@@ -74,7 +74,7 @@ def test_queries_like_their_sql(spark, name):
 
 def test_contract_columns(spark):
     want = {
-        "op1_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op2_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op1_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature tiles", "op2_packing": "doc_id piece start length ids_crc32 sequence_id offset",
         "op3_neighbours": "query_id rank vec_id score", "op4_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256", "op5_quality": "doc_id held_out score predicted",
         "op6_mix": "doc_id size source_size target taken", "op8_substrings": "doc_id n_words n_removed kept_sha256", "op9_urls": "page_id host path rule verdict", "op10_simhash": "doc_id fingerprint component_id",
     }
