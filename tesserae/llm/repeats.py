@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import partitions, remembered
 
 #: Symbols that are worked on at a time, at least one text.
-BATCH = 1 << 19
+BATCH = 1 << 18
 #: Texts longer than this many symbols are cut into overlapping pieces; a multiple of every gram's length.
 PIECE = 7 << 23
 #: Grams or bytes of segments that a task gathers before it sends them.
-FLUSH_GRAMS, FLUSH_BYTES = 1 << 20, 1 << 24
+FLUSH_GRAMS, FLUSH_BYTES = 1 << 19, 1 << 23
 #: A gram is hot that occurs more often than this among the grams that a task sends at a time, or in its bucket.
 LOCAL, HOT = 128, 1 << 14
 #: Words whose hash a worker remembers.
@@ -47,7 +47,7 @@ _POS = np.uint64((1 << 28) - 1)
 class Bytes:
     """Windows of bytes of the UTF-8 text; `block`: windows that a bucket's task sorts at a time."""
 
-    window, gram, block = 100, 32, 1 << 22
+    window, gram, block = 100, 32, 1 << 21
 
     def load(self, text: str | None) -> tuple[bytes, np.ndarray]:
         raw = (text or "").encode()
