@@ -98,13 +98,15 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """The rows of df as often as mix_sources() takes them, with df's columns; copies keep their id."""
-    marked = df.withColumns(_row_columns(id_col, source_col, text_col))
-    rows = checkpointed(marked.select("_skey", "_size", "_h", F.col(source_col).cast("string").alias("source")))
+    """The rows of df as often as mix_sources() takes them, with df's columns, whatever their names; copies keep their
+    id."""
+    own = [c.alias(k) for k, c in _row_columns(id_col, source_col, text_col).items()]
+    rows = checkpointed(df.select(*own, F.col(source_col).cast("string").alias("source")))
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *own)
     plan = thresholds(rows, weights, max_repeats).select("_skey", F.struct("whole", "threshold").alias("_plan"))
     out = join_small(marked, plan, "_skey", F.col("_h"), "inner")
     out = out.withColumn("_n", _repeats(F.col("_plan")["whole"], F.col("_plan")["threshold"]).cast("int")).filter("_n > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def op6_mix(spark, sf_dir):

@@ -216,8 +216,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Characters that a run cuts stay. A null text stays null; a text that repeats wholly is empty, its row stays.
     """
     rest = tuple(c for c in df.columns if c not in (id_col, text_col))
-    out = dedup_substrings(df.withColumn("_null_text", F.col(text_col).isNull()), id_col, text_col, (*rest, "_null_text"))
-    named = {id_col: F.col(id_col), text_col: F.when(~F.col("_carry")["_null_text"], F.col("text"))} | {c: F.col("_carry")[c] for c in rest}
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.col(text_col).isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
+    out = dedup_substrings(rows, "id", "text", ("row",)).withColumn("_row", F.col("_carry.row"))
+    named = {id_col: F.col("id"), text_col: F.when(~F.col("_row.none"), F.col("text"))} | {c: F.col(f"_row.c{i}") for i, c in enumerate(rest)}
     return out.select(*[named[c].alias(c) for c in df.columns])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 #: Extra columns whose names the operators use inside.
-CLASHES = ("id", "size", "fp", "node", "spans", "kept", "score", "length", "number", "salt", "whole", "threshold", "component", "copy", "media", "label")
+CLASHES = ("id", "size", "fp", "node", "spans", "kept", "score", "length", "number", "salt", "whole", "threshold", "component", "copy", "media", "label", "_rid", "_id", "_text", "_carry", "_row", "_null_text", "_size", "_h", "_skey", "_n", "_copy", "_plan", "_place", "row")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
