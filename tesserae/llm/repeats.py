@@ -45,7 +45,7 @@ _POS = np.uint64((1 << 28) - 1)
 
 
 class Bytes:
-    """Windows of bytes of the UTF-8 text; `block`: windows that a bucket's task sorts at a time."""
+    """Windows of bytes of the UTF-8 text; `block`: symbols of segments that a bucket's task works on at a time."""
 
     window, gram, block = 100, 32, 1 << 21
 
@@ -472,8 +472,7 @@ def match_segments(kind, across_rows: bool, earlier: Callable) -> Callable:
         if gone.size:
             yield from _span_batches(s.rid[gone], s.start[gone], np.array([kind.windows(s.data[i]) for i in gone.tolist()], "i8"))
         kept = kept[np.argsort(s.h[kept], kind="stable")]
-        many = np.array([kind.windows(s.data[i]) for i in kept.tolist()], "i8")
-        total = np.cumsum(many)
+        total = np.cumsum([kind.windows(s.data[i]) + kind.window - 1 for i in kept.tolist()])
         group = np.append(np.flatnonzero(np.diff(s.h[kept])) + 1, len(kept)) if len(kept) else np.empty(0, "i8")
         at = 0
         while at < len(kept):  # as many whole groups of a gram as fit, at least one

@@ -59,10 +59,8 @@ class Suffixes:
         slots = -(-(phase + size) // PERIOD)
         self.periods = int(slots.sum())
         self.base = PERIOD * (np.cumsum(slots) - slots) + phase
-        self.data = np.zeros(PERIOD * self.periods + 2 * PERIOD, "u1")
-        place = np.repeat(self.base - (np.cumsum(size) - size), size)
-        place += np.arange(len(place))
-        self.data[place] = np.frombuffer(b"".join(parts), "u1")
+        gap, after = bytes(2 * PERIOD), (PERIOD * slots - phase - size).tolist()
+        self.data = np.frombuffer(b"".join([x for p, f, a in zip(parts, phase.tolist(), after, strict=True) for x in (gap[:f], p, gap[:a])]) + gap, "u1")
         self.word = np.ndarray(len(self.data) - 7, ">u8", self.data, strides=(1,))
         self.rank = self.sample_ranks()
 
