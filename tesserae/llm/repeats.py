@@ -446,31 +446,67 @@ def send_segments(kind, buckets: int, across_rows: bool) -> Callable:
     return run
 
 
-def _span_batches(rid, first, many):
-    for i in range(0, len(rid), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(rid[part]), pa.array(first[part]), pa.array(many[part])], ["_rid", "first", "many"])
-
-
-def match_segments(kind, across_rows: bool, earlier: Callable) -> Callable:
-    """Step 2 in the buckets: spans (rid, first window, number of windows) of windows that occur earlier.
+SPAN_ROWS = "bucket int, n int, data binary"
+
+
+def _span_blobs(spans: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Spans (rid, first window, number of windows), arrays of three rows, as blobs by rid."""
+    rows = np.concatenate(spans, axis=1)
+    bucket = rows[0] % buckets
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[:, order], bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    parts = [(int(bucket[i]), j - i, _pack(rows[:, i:j])) for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "n", "data"])
+
+
+SPANS = "_rid long, spans array<struct<first:long,many:long>>"
+
+
+def join_spans(batches):
+    """Step 3: a row for each row id, with its spans in order; those that touch are one."""
+    got = [_unpack(data).reshape(3, n) for _, n, data in _rows(batches, 3)]
+    if not got:
+        return
+    rid, first, many = np.concatenate(got, axis=1)
+    order = np.lexsort((first, rid))
+    rid, first, end = rid[order], first[order], (first + many)[order]
+    # The furthest end so far of the same row: ends are compared after their row's number.
+    row = np.cumsum(np.concatenate([[0], np.diff(rid) != 0])).astype("i8")
+    wide = int(end.max()) + 1
+    upto = np.maximum.accumulate(row * wide + end)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (row[1:] * wide + first[1:] > upto[:-1])])
+    head = np.flatnonzero(new)
+    last = upto[np.append(head[1:] - 1, len(end) - 1)] - row[head] * wide
+    rid, first, many = rid[head], first[head], last - first[head]
+    begin = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+    ends = np.append(begin[1:], len(rid))
+    for i in range(0, len(begin), 4096):
+        a, z = begin[i], ends[min(i + 4096, len(ends)) - 1]
+        offsets = np.append(begin[i : i + 4096], z) - a
+        items = pa.StructArray.from_arrays([pa.array(first[a:z]), pa.array(many[a:z])], ["first", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[begin[i : i + 4096]]), pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), items)], ["_rid", "spans"])
+
+
+def match_segments(kind, buckets: int, across_rows: bool, earlier: Callable) -> Callable:
+    """Step 2 in the buckets: blobs of spans (rid, first window, number of windows) of windows that occur earlier.
 
     earlier(segments) gets the segments of some grams, in order, without copies, and returns (segment of each
     window, place in it, whether it occurs earlier) in order of segments and places.
     """
 
     def run(batches):
-        parts = []
+        parts, found, size = [], [], 0
         for n, spans, data in (r[1:] for r in _rows(batches, 4)):
             if spans:
-                yield from _span_batches(*_unpack(data).reshape(3, n))
+                found.append(_unpack(data).reshape(3, n))
             else:
                 parts.append(Segments.read(n, data))
         s = Segments.join(parts).in_order()
         del parts
         kept, gone = s.without_copies(across_rows)
         if gone.size:
-            yield from _span_batches(s.rid[gone], s.start[gone], np.array([kind.windows(s.data[i]) for i in gone.tolist()], "i8"))
+            found.append(np.stack([s.rid[gone], s.start[gone], np.array([kind.windows(s.data[i]) for i in gone.tolist()], "i8")]))
         kept = kept[np.argsort(s.h[kept], kind="stable")]
         total = np.cumsum([kind.windows(s.data[i]) + kind.window - 1 for i in kept.tolist()])
         group = np.append(np.flatnonzero(np.diff(s.h[kept])) + 1, len(kept)) if len(kept) else np.empty(0, "i8")
@@ -485,9 +521,14 @@ def match_segments(kind, across_rows: bool, earlier: Callable) -> Callable:
             if i.size:
                 new = np.flatnonzero((np.diff(seg[i]) != 0) | (np.diff(place[i]) != 1)) + 1
                 head = np.concatenate([[0], new])
-                size = np.diff(np.append(head, len(i)))
-                yield from _span_batches(block.rid[seg[i[head]]], block.start[seg[i[head]]] + place[i[head]], size)
+                found.append(np.stack([block.rid[seg[i[head]]], block.start[seg[i[head]]] + place[i[head]], np.diff(np.append(head, len(i)))]))
+                size += len(head)
             at = end
+            if size >= FLUSH_GRAMS:
+                yield _span_blobs(found, buckets)
+                found, size = [], 0
+        if found:
+            yield _span_blobs(found, buckets)
 
     return run
 
@@ -495,7 +536,7 @@ def match_segments(kind, across_rows: bool, earlier: Callable) -> Callable:
 def repeat_spans(rows: DataFrame, kind, across_rows: bool, earlier: Callable) -> DataFrame:
     """Columns copy and spans added to rows (_rid, _text, ...) with unique _rid.
 
-    spans: array of (first, many), runs of windows that also start earlier, in no order, or null. copy: the text is
+    spans: array of (first, many), runs of windows that also start earlier, in order, or null. copy: the text is
     that of a row before, whose windows are all repeats; it has no spans.
     """
     n = partitions(rows.sparkSession)
@@ -510,8 +551,8 @@ def repeat_spans(rows: DataFrame, kind, across_rows: bool, earlier: Callable) ->
     told = told.groupBy("_rid").agg(F.collect_set("gram").alias("_grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("_hot"))
     shown = texts.join(told, "_rid").select("_rid", "_text", "_grams", "_hot", *rest)
     sent = shown.mapInArrow(send_segments(kind, buckets, across_rows), SEGMENT_ROWS).repartition(n, "bucket")
-    spans = sent.mapInArrow(match_segments(kind, across_rows, earlier), "_rid long, first long, many long")
-    spans = spans.groupBy("_rid").agg(F.collect_list(F.struct("first", "many")).alias("spans"))
+    spans = sent.mapInArrow(match_segments(kind, buckets, across_rows, earlier), SPAN_ROWS).repartition(n, "bucket")
+    spans = spans.mapInArrow(join_spans, SPANS)
     marked = texts.join(firsts, "_rid", "left").join(spans, "_rid", "left")
     return marked.select(*rows.columns, F.col("_first").isNull().alias("copy"), "spans")
 

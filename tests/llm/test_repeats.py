@@ -106,9 +106,9 @@ def in_process(kind, earlier, texts, buckets=8, split=3):
         sent = pa.Table.from_batches(parts)
         second = np.bincount(sent.column("bucket").to_numpy(), sent.column("n").to_numpy(), buckets)
         for b in range(buckets):
-            for out in repeats.match_segments(kind, across, earlier)(of(sent, b)):
+            for out in repeats.join_spans(repeats.match_segments(kind, 4, across, earlier)(of(sent, b))):
                 for r in out.to_pylist():
-                    spans.setdefault(r["_rid"], []).append(r)
+                    spans.setdefault(r["_rid"], []).extend(r["spans"])
     return spans, first, second, len(rids)
 
 
