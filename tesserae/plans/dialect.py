@@ -123,4 +123,13 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = Non
     """The result of a query in the wider dialect; tables are registered as temporary views first."""
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(to_spark(sql))
+    return replaced(spark.sql(to_spark(sql)))
+
+
+def replaced(df: DataFrame) -> DataFrame:
+    """A result with each name once: SELECT *, expr AS name puts the expression in the place of the column it names."""
+    last = {c: i for i, c in enumerate(df.columns)}
+    if len(last) == len(df.columns):
+        return df
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[plain[f"c{last[c]}"].alias(c) for c in dict.fromkeys(df.columns)])

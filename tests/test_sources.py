@@ -49,8 +49,8 @@ def test_canonical_values(spark):
 
 def test_small_functions(spark):
     one = spark.range(1)
-    b = one.select(V.interval_bounds(F.lit("(3-5.5]")).alias("b"), V.interval_bounds(F.lit("x")).alias("n")).first()
-    assert tuple(b["b"]) == (3.0, 5.5, False, True) and b["n"] is None
+    b = one.select(V.interval_bounds(F.lit("(3-5.5]")).alias("b"), V.interval_bounds(F.lit("x")).alias("n"), V.interval_bounds(F.lit("[.5-+3)")).alias("s")).first()
+    assert tuple(b["b"]) == (3.0, 5.5, False, True) and b["n"] is None and tuple(b["s"]) == (0.5, 3.0, True, False)
     assert one.select(V.normal_lhs(F.lit(' b, "a" ,,c'))).first()[0] == ["a", "b", "c"]
     assert V.columns_of(V.mask_of(["C", "a", "zz"], ["a", "b", "c"]), ["a", "b", "c"]) == ["a", "c"]
     p = V.id_name_pattern(["id", "code"])
@@ -87,21 +87,46 @@ def test_wide_and_long_and_back(spark):
 
 
 def test_the_whole_way(spark, tmp_path):
-    t = tables.shop(spark, 60, 300)
-    flat = t["Customer"].withColumn("y", (F.col("age") > 30).cast("int")).cache()
-    config = Config(label_col=["y"], drop_cols=["customer_id"], min_group_support=5, max_lhs_size=1, sample_n=40)
-    assert "y" not in W.discovery_frame(flat, config, "full").columns and W.discovery_frame(flat, config, "train", "customer_id").count() == 40
-    found = W.mine(flat.drop("y", "customer_id"), config, catalog.from_ddl(tables.SHOP_DDL))
+    t = tables.network(spark, 60, 300)
+    flat = tables.noisy_label(t["Station"], "station_id", F.col("height") / 800).cache()
+    config = Config(label_col=["y"], drop_cols=["station_id"], min_group_support=5, max_lhs_size=1, sample_n=40)
+    assert "y" not in W.discovery_frame(flat, config, "full").columns and W.discovery_frame(flat, config, "train", "station_id").count() == 40
+    found = W.mine(flat.drop("y", "station_id"), config, catalog.from_ddl(tables.NETWORK_DDL))
     pairs = {(",".join(r["lhs"]), r["rhs"]) for r in found.fds.collect()}
-    assert {("age", "life_stage"), ("currency", "region"), ("customer_id", "age")} <= pairs
-    features = ["age", "life_stage", "region", "currency"]
-    score = lambda v: v["age"] + F.when(v["region"] == "EU", 20).otherwise(0).cast("double")
-    x, z = flat.filter("customer_id <= 4"), flat.filter("customer_id > 40").limit(8)
-    phi = W.explain(x, "customer_id", z, features, score, found, "exact", repair=True)
+    assert {("height", "site"), ("soil", "climate"), ("station_id", "height")} <= pairs
+    features = ["height", "site", "climate", "soil"]
+    score = lambda v: v["height"] + F.when(v["climate"] == "wet", 20).otherwise(0).cast("double")
+    x, z = flat.filter("station_id <= 4"), flat.filter("station_id > 40").limit(8)
+    phi = W.explain(x, "station_id", z, features, score, found, "exact", repair=True)
     assert phi.count() == 16
-    total = {r[0]: r[1] for r in phi.groupBy("customer_id").agg(F.sum("phi")).collect()}
+    total = {r[0]: r[1] for r in phi.groupBy("station_id").agg(F.sum("phi")).collect()}
     assert len(total) == 4
     W.ship(spark, found, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/constraints").count() > 10
     sinks.write_attributions(phi, f"{tmp_path}/phi", {"seed": 1})
     assert spark.read.parquet(f"{tmp_path}/phi/phi").count() == 16
+    # With provenance: what a height singles out tells the rest of its station, whatever the estimator.
+    held = flat.select("station_id", *features)
+    for estimator in ("exact", "monte_carlo", "leverage"):
+        wide = W.explain(x, "station_id", z, features, score, found, estimator, samples=40, max_skips=50, entities=held, id_cols=["station_id"])
+        assert wide.count() == 16
+
+
+def test_rows_are_numbered_in_order(spark):
+    from tesserae.sources.store import numbered
+
+    df = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "k int, _place string").repartition(9)
+    got = [(r["k"], r["n"], r["_place"]) for r in numbered(df, [F.col("k")], "n", 0).collect()]
+    assert sorted(got) == [(i, i, "x") for i in range(1000)]
+    assert numbered(df.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_labels_of_any_size_are_split(spark):
+    from tesserae.operators import models as M
+
+    df = spark.createDataFrame([(i, "a" if i % 10 else None) for i in range(1000)], "k int, y string").repartition(7)
+    out = R.stratified_split(df, "k", "y", 0.2, 5).groupBy("y", "split").count().collect()
+    assert {(r["y"], r["split"]): r["count"] for r in out} == {("a", "test"): 180, ("a", "train"): 720, (None, "test"): 20, (None, "train"): 80}
+    again = M.folds(df, "k", "y", 3, 5).groupBy("y", "fold").count().collect()
+    assert {(r["y"], r["fold"]): r["count"] for r in again} == {("a", 0): 300, ("a", 1): 300, ("a", 2): 300, (None, 0): 34, (None, 1): 33, (None, 2): 33}
+    assert R.stratified_split(df.limit(0), "k", "y", 0.2, 5).count() == 0
