@@ -19,7 +19,7 @@ def canonical(text: Column) -> Column:
     around go, and texts that mean true or false are "true" or "false"."""
     t = F.trim(text)
     whole = F.regexp_replace(t, r"^([+-]?\d+)\.0*$", "$1")
-    return F.when(t.isNull() | F.lower(t).isin("", "nan", "none", "null"), None).when(F.lower(whole).isin(*TRUE_TEXTS), "true").when(F.lower(whole).isin(*FALSE_TEXTS), "false").otherwise(whole)
+    return F.when(t.isNull() | F.lower(t).isin("", "nan"), None).when(F.lower(whole).isin(*TRUE_TEXTS), "true").when(F.lower(whole).isin(*FALSE_TEXTS), "false").otherwise(whole)
 
 
 def as_number(text: Column) -> Column:
@@ -46,8 +46,9 @@ def normal_lhs(text: Column) -> Column:
 
 
 def interval_bounds(label: Column) -> Column:
-    """struct(lo, hi, lo_inclusive, hi_inclusive) of labels like [3-5], (3,5] or [3-5); null if it is none."""
-    pattern = r"^\s*([\[(])\s*(-?\d+(?:\.\d+)?)\s*[-,]\s*(-?\d+(?:\.\d+)?)\s*([\])])\s*$"
+    """struct(lo, hi, lo_inclusive, hi_inclusive) of labels like [3-5], (3,5], [.5-1] or [+3-5); null if it is none."""
+    number = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+))"
+    pattern = rf"^\s*([\[(])\s*{number}\s*[-,]\s*{number}\s*([\])])\s*$"
     part = lambda i: F.regexp_extract(label, pattern, i)
     bounds = F.struct(part(2).try_cast("double").alias("lo"), part(3).try_cast("double").alias("hi"), (part(1) == "[").alias("lo_inclusive"), (part(4) == "]").alias("hi_inclusive"))
     return F.when(label.rlike(pattern), bounds)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tesserae.operators import coalitions as C
 from tesserae.operators import integrity as I
 
-#: Background rows at most: they are sent to every task.
-MAX_BACKGROUND = 10_000
+#: Background rows, and sampled coalitions, at most: they are sent to every task.
+MAX_BACKGROUND, MAX_SAMPLES = 10_000, 1 << 20
 
 Scorer = Callable[[dict[str, Column]], Column]
 
@@ -62,11 +62,17 @@ def values(explain: DataFrame, key: str, masks: DataFrame, background: DataFrame
     return mixed.withColumn("_score", score({f: F.col(f) for f in features})).groupBy(key, "mask").agg(F.avg("_score").alias("value"))
 
 
-def exact(explain: DataFrame, key: str, background: DataFrame, features: list[str], score: Scorer, closure: list[tuple[int, int]] = (), repair: list[I.Rule] | None = None) -> DataFrame:
-    """(key, feature, phi) over all coalitions of at most 24 features; values are those of the closures."""
+#: From masks (key, mask) to (key, mask, canon), where closures alone don't tell the canonical coalition.
+Canon = Callable[[DataFrame], DataFrame]
+
+
+def exact(explain: DataFrame, key: str, background: DataFrame, features: list[str], score: Scorer, closure: list[tuple[int, int]] = (), repair: list[I.Rule] | None = None, canon: Canon | None = None) -> DataFrame:
+    """(key, feature, phi) over all coalitions of at most 24 features; values are those of the closures, or of what
+    canon makes of each row's coalitions (see provenance)."""
     n = len(features)
     every = C.canonical(C.all_masks(explain.sparkSession, n), list(closure))
     per_row = explain.select(key).join(F.broadcast(every), F.lit(True), "inner")
+    per_row = canon(per_row.select(key, "mask")) if canon else per_row
     v = values(explain, key, per_row.select(key, F.col("canon").alias("mask")), background, features, score, repair)
     v = per_row.join(v.withColumnRenamed("mask", "canon"), [key, "canon"])
     # phi_i = sum over S of v(S) times (|S|-1)! (n-|S|)! where i is in S, -|S|! (n-|S|-1)! where not, over n!.
@@ -87,13 +93,26 @@ def matrix(phi: DataFrame, key: str, features: list[str]) -> DataFrame:
     return phi.groupBy(key).pivot("feature", features).agg(F.first("phi"))
 
 
-def monte_carlo(explain: DataFrame, key: str, background: DataFrame, features: list[str], score: Scorer, n: int = 100, seed: int = 0, closure: list[tuple[int, int]] = (), scale: str = "shapley", max_classes: int | None = None, repair: list[I.Rule] | None = None) -> DataFrame:
+def monte_carlo(explain: DataFrame, key: str, background: DataFrame, features: list[str], score: Scorer, n: int = 100, seed: int = 0, closure: list[tuple[int, int]] = (), scale: str = "shapley", max_classes: int | None = None, repair: list[I.Rule] | None = None, canon: Canon | None = None, max_skips: int | None = None) -> DataFrame:
     """(key, feature, phi) from n draws a row: the change of value when the pivot joins is shared by the features that
     it turns on. scale="shapley" estimates Shapley values; "mean" is the plain mean over draws, their n-th part of
-    the number of features. max_classes keeps each row's draws within its first so many distinct coalitions."""
+    the number of features. max_classes keeps each row's draws within its first so many distinct coalitions.
+
+    max_skips: budget mode. Only draws whose pair of coalitions is new to the row count; those that repeat one are
+    drawn anew, until n count or max_skips were skipped. It is left out where n is half of all coalitions or more.
+    canon: what makes a row's coalitions canonical instead of the closure alone (see provenance).
+    """
     m, rules = len(features), list(closure)
-    d = C.draws(explain, key, n, m, seed)
-    d = d.withColumn("s0", C.closed(F.col("before"), rules)).withColumn("s1", C.closed(F.col("after"), rules))
+    unique = max_skips is not None and n < 2 ** (m - 1)
+    d = C.draws(explain, key, n + max_skips if unique else n, m, seed)
+    if canon:
+        every = canon(d.select(key, F.col("before").alias("mask")).union(d.select(key, F.col("after").alias("mask"))).distinct())
+        for mask, s in (("before", "s0"), ("after", "s1")):
+            d = d.join(every.select(key, F.col("mask").alias(mask), F.col("canon").alias(s)), [key, mask])
+    else:
+        d = d.withColumn("s0", C.closed(F.col("before"), rules)).withColumn("s1", C.closed(F.col("after"), rules))
+    if unique:
+        d = C.first_draws(d, key, ["s0", "s1"], n)
     if max_classes is not None and max_classes < 2 ** (m - 1):
         seen = d.select(key, F.col("s0").alias("canon"), "draw").union(d.select(key, F.col("s1").alias("canon"), "draw"))
         kept = C.budget(seen, key, "draw", max_classes).select(key, "canon")
@@ -153,23 +172,43 @@ def sample_coalitions(n: int, samples: int, seed: int = 0) -> tuple[np.ndarray,
     return masks, np.array([out[m] for m in masks.tolist()])
 
 
-def regression(explain: DataFrame, key: str, background: DataFrame, features: list[str], score: Scorer, samples: int = 2048, seed: int = 0, kernel: str = "leverage", closure: list[tuple[int, int]] = (), repair: list[I.Rule] | None = None) -> DataFrame:
+def sample_classes(n: int, samples: int, seed: int, rules: list[tuple[int, int]], max_skips: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, chances) of sampled coalitions with distinct closures, the first of each class, as many as asked or as
+    are found before so many were skipped."""
+    want, size = samples, samples
+    while True:
+        masks, chance = sample_coalitions(n, size, seed)
+        _, first = np.unique([C.close_mask(m, rules) for m in masks.tolist()], return_index=True)
+        if len(first) >= want or len(masks) - len(first) >= max_skips or len(masks) >= 2**n - 2:
+            keep = np.sort(first)[:want]
+            return masks[keep], chance[keep]
+        size *= 2
+
+
+def regression(explain: DataFrame, key: str, background: DataFrame, features: list[str], score: Scorer, samples: int = 2048, seed: int = 0, kernel: str = "leverage", closure: list[tuple[int, int]] = (), repair: list[I.Rule] | None = None, canon: Canon | None = None, max_skips: int | None = None) -> DataFrame:
     """(key, feature, phi) by least squares over sampled coalitions, with the values of all and of none kept exactly.
 
+    max_skips: budget mode. Of coalitions with the same closure one is kept, and more are sampled until there are as
+    many classes as samples, or max_skips were skipped. canon: see monte_carlo().
+
     kernel: "leverage" weighs a coalition by 1 / (C(n, s) s (n - s)) over its chance of being drawn, "kernel" by
     (n - 1) / (C(n, s) s (n - s)). With all coalitions both give Shapley values. The solve is one small system a row.
     """
     n, rules = len(features), list(closure)
     if n == 1:
         return exact(explain, key, background, features, score, closure, repair)
-    masks, chance = sample_coalitions(n, samples, seed)
+    masks, chance = sample_coalitions(n, samples, seed) if max_skips is None else sample_classes(n, samples, seed, rules, max_skips)
     size = np.array([m.bit_count() for m in masks.tolist()])
     weight = 1 / (np.array([math.comb(n, s) for s in size.tolist()], "f8") * size * (n - size))
     weight = weight / chance if kernel == "leverage" else weight * (n - 1)
     spark, full = explain.sparkSession, (1 << n) - 1
     rows = [(int(m), float(w)) for m, w in zip(masks, weight, strict=True)] + [(0, 0.0), (full, 0.0)]
     drawn = C.canonical(spark.createDataFrame(rows, "mask long, weight double"), rules)
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} sampled coalitions")
     per_row = explain.select(key).join(F.broadcast(drawn), F.lit(True), "inner")
+    if canon:
+        per_row = per_row.drop("canon").join(canon(per_row.select(key, "mask")), [key, "mask"])
     v = values(explain, key, per_row.select(key, F.col("canon").alias("mask")), background, features, score, repair)
     v = per_row.join(v.withColumnRenamed("mask", "canon"), [key, "canon"])
     kind = explain.schema[key].dataType.simpleString()

@@ -37,10 +37,12 @@ def close_mask(mask: int, rules: list[tuple[int, int]]) -> int:
 
 
 def closed(mask: Column, rules: list[tuple[int, int]]) -> Column:
-    """Closure of a mask under the rules, in as many rounds as the longest chain needs."""
+    """Closure of a mask under the rules. Each rule gives the closure of its left side, so that what follows from single
+    features comes in one round; left sides of several features may need one each."""
     if not rules:
         return mask
-    rounds = _depth(rules)
+    rules = [(a, close_mask(a, rules)) for a in sorted({a for a, _ in rules})]
+    rounds = 1 + sum(a.bit_count() > 1 for a, _ in rules)
 
     def step(m: Column, _: Column) -> Column:
         add = [F.when(m.bitwiseAND(F.lit(a)) == F.lit(a), F.lit(b)).otherwise(F.lit(0)).cast("long") for a, b in rules]
@@ -49,10 +51,6 @@ def closed(mask: Column, rules: list[tuple[int, int]]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), mask.cast("long"), lambda acc, i: step(acc, i))
 
 
-def _depth(rules: list[tuple[int, int]]) -> int:
-    return max(1, len({b for _, b in rules}))
-
-
 def all_masks(spark: SparkSession, n: int) -> DataFrame:
     if n > 24:
         raise ValueError("too many features for all coalitions; draw some")
@@ -76,6 +74,12 @@ def budget(draws: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return first.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n).drop("_i")
 
 
+def first_draws(draws: DataFrame, key: str, classes: list[str], n: int, order: str = "draw") -> DataFrame:
+    """Of each row's draws those whose class is new, the first n in order of drawing."""
+    new = draws.withColumn("_t", F.row_number().over(Window.partitionBy(key, *classes).orderBy(order))).filter("_t = 1").drop("_t")
+    return new.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_i") <= n).drop("_i")
+
+
 def size_histogram(masks: DataFrame, column: str = "mask") -> DataFrame:
     return masks.groupBy(F.bit_count(column).cast("int").alias("size")).agg(F.count("*").alias("n"))
 

@@ -119,7 +119,7 @@ def target(df: DataFrame, column: str, atoms: list[tuple[str, str, list[str]]],
 def repair(df: DataFrame, rules: list[Rule], fixed: tuple[str, ...] = (), mode: str = "nearest", key: str | None = None, seed: int = 0, explain: bool = False) -> DataFrame:
     """Rows that break a rule changed in as few columns as it names, rule after rule, in the rule's first alternative;
     fixed columns never change. Adds n_changed, and n_infeasible: rules still broken; with explain also changes, an
-    array of texts (rule, column, before, after). mode: see target(); draws follow from the row's key and the seed.
+    array of texts (rule, column, before, after, and what the rule asks). mode: see target(); draws follow from the row's key and the seed.
     """
     rules, columns = usable(df, rules), df.columns
     if mode != "nearest" and key is None:
@@ -134,7 +134,9 @@ def repair(df: DataFrame, rules: list[Rule], fixed: tuple[str, ...] = (), mode:
             out = out.withColumns({f"_old_{c}": F.col(c).cast("string") for c in change})
         out = out.withColumns({c: F.when(F.col("_broken"), target(df, c, atoms, mode, draw.get(c))).otherwise(F.col(c)) for c in change})
         if explain:
-            text = [F.when(F.col("_broken") & ~F.col(c).cast("string").eqNullSafe(F.col(f"_old_{c}")), F.concat(F.lit(f"{r.key[0]} {r.key[1]}: {c} "), F.coalesce(f"_old_{c}", F.lit("null")), F.lit(" to "), F.coalesce(F.col(c).cast("string"), F.lit("null")))) for c in change]
+            asks = " and ".join(f"{c} {op}" if op == "IS_NULL" else f"{c} {op} {', '.join(v)}" for c, op, v in atoms)
+            why = f", as {' '.join(map(str, r.guard[:2])) if r.guard[1] == 'IS_NULL' else ' '.join(map(str, r.guard))} asks {asks}"
+            text = [F.when(F.col("_broken") & ~F.col(c).cast("string").eqNullSafe(F.col(f"_old_{c}")), F.concat(F.lit(f"{r.key[0]} {r.key[1]}: {c} "), F.coalesce(f"_old_{c}", F.lit("null")), F.lit(" to "), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(why))) for c in change]
             out = out.withColumn("_said", F.concat("_said", F.array_compact(F.array(*text)) if text else F.col("_said")))
     still = reduce(lambda a, b: a + b, [(guarded(df, r) & ~satisfied(df, r)).cast("int") for r in rules], F.lit(0))
     changed = reduce(lambda a, b: a + b, [(~F.col(c).eqNullSafe(F.col(f"_was_{c}"))).cast("int") for c in columns], F.lit(0))

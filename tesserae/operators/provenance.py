@@ -9,13 +9,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import canonical
+from tesserae.operators.coalitions import closed
+from tesserae.operators.refine import Closure
 
 Rule = tuple[tuple[str, ...], tuple[str, ...]]  # determining features, features that follow
 
 
 def id_rules(rules: list[tuple[tuple[str, ...], str]], id_cols: list[str]) -> dict[str, list[str]]:
-    """For each id column what it determines."""
-    return {i: sorted({rhs for lhs, rhs in rules if lhs == (i,) and rhs not in id_cols}) for i in id_cols}
+    """For each id column what it determines, by rules that follow from each other too."""
+    close = Closure(rules)
+    return {i: sorted(set(close((i,))) - set(id_cols)) for i in id_cols}
+
+
+def pair_id(rows: DataFrame, columns: list[str], out: str = "pair_id") -> DataFrame:
+    """rows with an id made of two columns, null if either is."""
+    return rows.withColumn(out, F.when(F.col(columns[0]).isNotNull() & F.col(columns[1]).isNotNull(), F.struct(*columns)))
+
+
+def candidate_counts(rows: DataFrame, id_col: str, asked: DataFrame, features: list[str], bits: list[int], max_masks: int = 4096) -> DataFrame:
+    """(key, mask, n_candidates): how many ids have a row that holds all of the asked row's values in the mask, nulls equal.
+
+    asked: key, mask and the features; bits: the mask's bit of each feature. The ids of equal values are counted once,
+    before they meet the rows that ask; distinct masks, whose number is checked, are what the rows are repeated for.
+    """
+    known = sum(1 << b for b in bits)
+    asked = asked.withColumn("_held", F.col("mask").bitwiseAND(F.lit(known).cast("long"))).filter("_held <> 0")
+    masks = asked.select("_held").distinct()
+    if masks.limit(max_masks + 1).count() > max_masks:
+        raise ValueError(f"more than {max_masks} masks")
+    seen = F.struct(*[F.when(F.col("_held").bitwiseAND(F.lit(1 << b)) != 0, F.struct(F.col(f))).alias(f) for f, b in zip(features, bits, strict=True)])
+    held = rows.select(F.col(id_col).alias("_id"), *features).filter("_id is not null").join(F.broadcast(masks), F.lit(True), "inner")
+    counts = held.groupBy("_held", seen.alias("_v")).agg(F.count_distinct("_id").alias("n_candidates"))
+    return asked.select("key", "mask", "_held", seen.alias("_v")).join(counts, ["_held", "_v"]).select("key", "mask", "n_candidates")
+
+
+def canon_by_provenance(explained: DataFrame, key: str, rows: DataFrame, id_col: str, features: list[str], follow: list[Rule], closure: list[tuple[int, int]] = (), threshold: int = 1, again: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """A function from masks (key, mask) to (key, mask, canon): the closure, and where the values in it single out
+    between one and `threshold` ids of rows, what follows (rules `follow` of feature names) as well, closed again.
+
+    rows: the id and those of the features that entities hold. again: a second look with exactly one candidate.
+    """
+    held = [f for f in features if f in rows.columns]
+    bits = [features.index(f) for f in held]
+    known = explained.select(F.col(key).alias("key"), *held)
+
+    def widened(masks: DataFrame, limit: int) -> DataFrame:  # (key, raw, mask)
+        asked = masks.select("key", "mask").distinct().join(known, "key")
+        n = candidate_counts(rows, id_col, asked, held, bits)
+        more = F.lit(0).cast("long")
+        for lhs, rhs in follow:
+            need, gain = sum(1 << features.index(f) for f in lhs), sum(1 << features.index(f) for f in rhs if f in features)
+            more = more.bitwiseOR(F.when(F.col("mask").bitwiseAND(F.lit(need).cast("long")) == need, F.lit(gain)).otherwise(0).cast("long"))
+        few = F.coalesce((F.col("n_candidates") >= 1) & (F.col("n_candidates") <= limit), F.lit(False))
+        out = masks.join(n, ["key", "mask"], "left")
+        wide = F.when(few, F.col("mask").bitwiseOR(more)).otherwise(F.col("mask"))
+        return out.select("key", "raw", closed(wide, list(closure)).alias("mask"))
+
+    def canon(masks: DataFrame) -> DataFrame:
+        start = masks.select(F.col(key).alias("key"), F.col("mask").cast("long").alias("raw")).distinct()
+        out = widened(start.withColumn("mask", closed(F.col("raw"), list(closure))), threshold)
+        out = widened(out, 1) if again else out
+        return out.select(F.col("key").alias(key), F.col("raw").alias("mask"), F.col("mask").alias("canon"))
+
+    return canon
 
 
 def inverted_index(rows: DataFrame, id_col: str, features: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ FEATURES = ["qty", "disc", "tax", "size"]
 RULES = [(("disc",), "tax"), (("qty", "disc"), "size")]
 
 
-#: Background rows of the queries that explain every part.
+#: Background rows of the queries, which explain every part.
 BACKGROUND = 16
 
 
@@ -40,20 +40,14 @@ def _numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") * 7 % 50).cast("int").alias("qty"), (F.col("p_size") % 11).cast("int").alias("disc"), (F.length("p_name") % 9).cast("int").alias("tax"), F.col("p_size").cast("int").alias("size"))
 
 
-def parts(spark, sf_dir):
-    """40 rows to explain and 16 background rows, as the SQL of the exact queries has them."""
-    p = _numbers(spark, sf_dir)
-    return p.filter("row_id <= 40"), p.filter("row_id > 40 and row_id <= 56")
-
-
 def every_part(spark, sf_dir):
     """All rows to explain, and a seeded sample of BACKGROUND of them as background, whatever the table's size."""
     p = _numbers(spark, sf_dir)
     return p, seeded_sample(p, "row_id", BACKGROUND, 2026)
 
 
-_PARTS = """p AS (SELECT p_partkey AS row_id, CAST(p_partkey * 7 % 50 AS INTEGER) AS qty, p_size % 11 AS disc, CAST(length(p_name) % 9 AS INTEGER) AS tax, p_size AS size FROM part),
-e AS (SELECT * FROM p WHERE row_id <= 40), b AS (SELECT * FROM p WHERE row_id > 40 AND row_id <= 56)"""
+_PARTS = f"""p AS (SELECT p_partkey AS row_id, CAST(p_partkey * 7 % 50 AS INTEGER) AS qty, p_size % 11 AS disc, CAST(length(p_name) % 9 AS INTEGER) AS tax, p_size AS size, p_brand AS brand FROM part),
+e AS (SELECT * FROM p), b AS (SELECT * FROM p ORDER BY CAST('0x' || substr(md5('2026:' || row_id), 1, 8) AS BIGINT), row_id LIMIT {BACKGROUND})"""
 
 
 def score(x):
@@ -89,29 +83,44 @@ def coalition_size_hist(spark, sf_dir):
 
 @query(f"WITH {_PARTS}, {_ALL}, {_values('a')} SELECT * FROM v")
 def value_function(spark, sf_dir):
-    e, b = parts(spark, sf_dir)
+    e, b = every_part(spark, sf_dir)
     masks = e.select("row_id").join(F.broadcast(C.all_masks(spark, 4)), F.lit(True), "inner")
     return A.values(e, "row_id", masks, b, FEATURES, score)
 
 
 @query(f"WITH {_PARTS}, {_ALL}, {_values('a')} {_phi('v')}")
 def shapley_exact(spark, sf_dir):
-    e, b = parts(spark, sf_dir)
+    e, b = every_part(spark, sf_dir)
     return A.exact(e, "row_id", b, FEATURES, score)
 
 
 @query(f"WITH {_PARTS}, {_ALL}, c AS (SELECT row_id, mask AS m0, {_CANON} AS mask FROM a), d AS (SELECT DISTINCT row_id, mask FROM c), {_values('d')}, j AS (SELECT c.row_id, m0 AS mask, value FROM c JOIN v ON v.row_id = c.row_id AND v.mask = c.mask) {_phi('j')}")
 def shapley_fd_closed(spark, sf_dir):
-    e, b = parts(spark, sf_dir)
+    e, b = every_part(spark, sf_dir)
     return A.exact(e, "row_id", b, FEATURES, score, C.rule_masks(RULES, FEATURES))
 
 
 @query(f"WITH {_PARTS}, {_ALL}, {_values('a')}, s AS ({_phi('v')}) SELECT row_id, feature, round(phi, 5) + 0.0 AS phi FROM s")
 def shapley_by_regression(spark, sf_dir):
-    e, b = parts(spark, sf_dir)
+    e, b = every_part(spark, sf_dir)
     return A.regression(e, "row_id", b, FEATURES, score).withColumn("phi", F.round("phi", 5) + 0.0)
 
 
+#: disc and qty of a part that one brand alone has tell its size.
+_CANDIDATES = """w AS (SELECT DISTINCT disc, qty, brand FROM p),
+n AS (SELECT a.row_id, a.mask, count(DISTINCT w.brand) AS n FROM a JOIN e ON e.row_id = a.row_id JOIN w ON (a.mask & 1 = 0 OR w.qty IS NOT DISTINCT FROM e.qty) AND (a.mask & 2 = 0 OR w.disc IS NOT DISTINCT FROM e.disc) WHERE a.mask & 3 <> 0 GROUP BY ALL),
+c AS (SELECT a.row_id, a.mask AS m0, CASE WHEN a.mask & 3 = 3 AND n.n = 1 THEN a.mask | 8 ELSE a.mask END AS mask FROM a LEFT JOIN n ON n.row_id = a.row_id AND n.mask = a.mask), d AS (SELECT DISTINCT row_id, mask FROM c)"""
+
+
+@query(f"WITH {_PARTS}, {_ALL}, {_CANDIDATES}, {_values('d')}, j AS (SELECT c.row_id, m0 AS mask, value FROM c JOIN v ON v.row_id = c.row_id AND v.mask = c.mask) {_phi('j')}")
+def shapley_by_provenance(spark, sf_dir):
+    """Coalitions are widened where the values in them single out one brand."""
+    e, b = every_part(spark, sf_dir)
+    brands = e.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_brand"), "row_id").select("p_brand", "qty", "disc").distinct()
+    canon = P.canon_by_provenance(e, "row_id", brands, "p_brand", FEATURES, [(("qty", "disc"), ("size",))])
+    return A.exact(e, "row_id", b, FEATURES, score, canon=canon)
+
+
 @query()
 def shapley_monte_carlo(spark, sf_dir):
     e, b = every_part(spark, sf_dir)
@@ -121,7 +130,7 @@ def shapley_monte_carlo(spark, sf_dir):
 @query()
 def shapley_leverage_budget(spark, sf_dir):
     e, b = every_part(spark, sf_dir)
-    return A.regression(e, "row_id", b, FEATURES, score, samples=8, seed=2026, closure=C.rule_masks(RULES, FEATURES))
+    return A.regression(e, "row_id", b, FEATURES, score, samples=8, seed=2026, closure=C.rule_masks(RULES, FEATURES), max_skips=100)
 
 
 @query("""
@@ -184,7 +193,7 @@ def model_scores(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT event_id, trim(regexp_extract(props, ':\\s*(.*)\\}', 1)) AS v FROM events)
-SELECT event_id, CASE WHEN v IN ('', 'nan', 'none', 'null') THEN NULL WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('true', 't', '1', 'yes', 'y') THEN 'true' WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('false', 'f', '0', 'no', 'n') THEN 'false' ELSE regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') END AS canon FROM t""")
+SELECT event_id, CASE WHEN v IN ('', 'nan') THEN NULL WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('true', 't', '1', 'yes', 'y') THEN 'true' WHEN regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') IN ('false', 'f', '0', 'no', 'n') THEN 'false' ELSE regexp_replace(v, '^([+-]?[0-9]+)\\.0*$', '\\1') END AS canon FROM t""")
 def canonical_values(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", canonical(F.regexp_extract("props", r":\s*(.*)\}", 1)).alias("canon"))

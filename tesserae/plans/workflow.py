@@ -11,6 +11,7 @@ from tesserae.operators import attribution as A
 from tesserae.operators import coalitions as C
 from tesserae.operators import data_constraints as D
 from tesserae.operators import integrity as I
+from tesserae.operators import provenance as P
 from tesserae.operators import refine as X
 from tesserae.operators import schema_constraints as S
 from tesserae.operators.relational import seeded_sample, stratified_split
@@ -62,20 +63,53 @@ def mine(df: DataFrame, config: Config, catalog: Catalog | None = None, sql: str
     return Constraints(fds, X.merge_atoms(atoms), D.integrity(df, cycles))
 
 
-def explain(explained: DataFrame, key: str, background: DataFrame, features: list[str], score: A.Scorer, constraints: Constraints | None = None, estimator: str = "monte_carlo", samples: int = 100, seed: int = 0, repair: bool = False, max_classes: int | None = None) -> DataFrame:
+def explain(explained: DataFrame, key: str, background: DataFrame, features: list[str], score: A.Scorer, constraints: Constraints | None = None, estimator: str = "monte_carlo", samples: int = 100, seed: int = 0, repair: bool = False, max_classes: int | None = None, max_skips: int | None = None, entities: DataFrame | None = None, id_cols: list[str] = (), threshold: int = 1, again: bool = True) -> DataFrame:
     """(key, feature, phi): "exact", "monte_carlo", "leverage" or "kernel" attributions, closed under the dependencies
-    among the features and, if asked, with mixed rows repaired by the checks."""
-    closure = C.rule_masks(constraints.rules(), features) if constraints else []
+    among the features and, if asked, with mixed rows repaired by the checks.
+
+    max_skips: budget mode of the estimators. entities: provenance, rows of id columns and the features they come with;
+    a coalition whose values single out at most `threshold` ids, by an id column, is widened by what the constraints
+    say follows from it, and looked at once more if again. With two id columns their pair is an id as well.
+    """
+    rules = constraints.rules() if constraints else []
+    closure = C.rule_masks(rules, features)
     checks = constraints.checks() if constraints and repair else None
+    canon = None
+    if entities is not None and id_cols:
+        known = P.id_rules(rules, list(id_cols))
+        if len(id_cols) == 2:
+            entities = P.pair_id(entities, list(id_cols))
+            known["pair_id"] = sorted(set(X.Closure(rules)(id_cols)) - set(id_cols))
+        steps = []
+        for i, told in known.items():
+            held = [f for f in features if f in told]
+            if held:  # each of what an id comes with, once it is singled out, tells the others
+                follow = [((f,), tuple(g for g in held if g != f)) for f in held]
+                steps.append(P.canon_by_provenance(explained, key, entities.select(i, *held), i, features, follow, closure, threshold, again))
+        if steps:
+            canon = _chain(steps, key)
     if estimator == "exact":
-        return A.exact(explained, key, background, features, score, closure, checks)
+        return A.exact(explained, key, background, features, score, closure, checks, canon)
     if estimator == "monte_carlo":
-        return A.monte_carlo(explained, key, background, features, score, samples, seed, closure, max_classes=max_classes, repair=checks)
+        return A.monte_carlo(explained, key, background, features, score, samples, seed, closure, max_classes=max_classes, repair=checks, canon=canon, max_skips=max_skips)
     if estimator in ("leverage", "kernel"):
-        return A.regression(explained, key, background, features, score, samples, seed, estimator, closure, checks)
+        return A.regression(explained, key, background, features, score, samples, seed, estimator, closure, checks, canon, max_skips)
     raise ValueError(f"no estimator {estimator}")
 
 
+def _chain(steps: list[A.Canon], key: str) -> A.Canon:
+    """One after the other: each step widens what the one before made of a coalition."""
+
+    def canon(masks: DataFrame) -> DataFrame:
+        out = steps[0](masks)
+        for step in steps[1:]:
+            wider = step(out.select(key, F.col("canon").alias("mask"))).withColumnsRenamed({"mask": "canon", "canon": "_wider"})
+            out = out.join(wider, [key, "canon"]).select(key, "mask", F.col("_wider").alias("canon"))
+        return out
+
+    return canon
+
+
 def samples(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return seeded_sample(df, key, n, seed)
 

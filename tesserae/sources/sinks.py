@@ -64,8 +64,11 @@ def write_attributions(phi: DataFrame, path: str, settings: dict) -> None:
     phi.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
 
-def write_model(model: PipelineModel, path: str) -> None:
+def write_model(model: PipelineModel, path: str, predictions: DataFrame | None = None) -> None:
+    """The model and, if given, the rows it scored in a table beside it."""
     model.write().overwrite().save(path)
+    if predictions is not None:
+        predictions.write.mode("overwrite").parquet(f"{path.rstrip('/')}_predictions")
 
 
 def read_model(path: str) -> PipelineModel:

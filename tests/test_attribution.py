@@ -205,3 +205,43 @@ def test_every_part_is_explained(spark):
     for x in parts:
         assert abs(got[x["row_id"]] - (score(x) - base)) < 1e-6
     assert {r["row_id"] for r in Q.shapley_monte_carlo(spark, sf).select("row_id").distinct().collect()} == set(got)
+
+
+def test_sampled_estimates_of_parts_are_near_the_exact_ones(spark):
+    from tesserae.plans import q_attribution as Q
+
+    sf = "/root/testdata/sf0.001"
+    pick = lambda out: {(r["row_id"], r["feature"]): r["phi"] for r in out.collect()}
+    off = lambda got, want: np.mean([abs(got[k] - want[k]) for k in want]) / np.mean([abs(v) for v in want.values()])
+    e, b = Q.every_part(spark, sf)
+    want, drawn = pick(Q.shapley_exact(spark, sf)), pick(A.monte_carlo(e, "row_id", b, Q.FEATURES, Q.score, n=100, seed=2026))
+    assert set(want) == set(drawn) and off(drawn, want) < 0.25
+    want, solved = pick(Q.shapley_fd_closed(spark, sf)), pick(Q.shapley_leverage_budget(spark, sf))
+    assert set(want) == set(solved) and off(solved, want) < 0.5
+
+
+def test_budget_draws_anew(data):
+    x, z, dx, dz = data
+    d = C.draws(dx, "row_id", 300, 4, 2).withColumn("s0", F.col("before")).withColumn("s1", F.col("after"))
+    kept = C.first_draws(d, "row_id", ["s0", "s1"], 7).collect()
+    assert len(kept) == 7 * len(x) == len({(r["row_id"], r["s0"], r["s1"]) for r in kept})
+    masks, _ = A.sample_classes(4, 6, 1, [(1, 2)], 100)
+    assert len({C.close_mask(m, [(1, 2)]) for m in masks.tolist()}) == len(masks) == 6
+    got = frame(A.monte_carlo(dx, "row_id", dz, FEATURES, score, n=7, seed=2, max_skips=200))
+    assert set(got) == {r[0] for r in x}
+
+
+def test_provenance_widens_coalitions(spark, data):
+    x, z, dx, dz = data
+    rows = spark.createDataFrame([(f"e{i}", *r[1:3]) for i, r in enumerate(x)] + [("e0", 99, 99)], "e string, a int, b int")
+    canon = P.canon_by_provenance(dx, "row_id", rows, "e", FEATURES, [(("a",), ("b", "c"))], again=False)
+    every = dx.select("row_id").join(C.all_masks(spark, 4), F.lit(True), "inner")
+    got = {(r["row_id"], r["mask"]): r["canon"] for r in canon(every).collect()}
+    assert len(got) == 16 * len(x)
+    for r in x:
+        for m in range(16):
+            ids = {i for i, q in enumerate(x) if all(not m >> k & 1 or q[k + 1] == r[k + 1] for k in (0, 1))}
+            assert got[r[0], m] == (m | 6 if m & 3 and len(ids) == 1 and m & 1 else m)
+    phi = frame(A.exact(dx, "row_id", dz, FEATURES, score, canon=canon))
+    for r in x:
+        assert np.allclose(phi[r[0]], shapley(r, z, lambda m, r=r: got[r[0], m]))

@@ -161,7 +161,7 @@ def test_drawn_repairs_meet_the_rules(spark):
         assert {r["x"] for r in b} == {2, 8, 20} and {r["s"] for r in b} == {"a", "b"}
     assert seen["weighted"] < seen["random"]  # from below, nearer the lower bound
     said = I.repair(df.filter("k < 2"), band, explain=True).orderBy("k").first()["changes"]
-    assert said == ["t 1: x -300 to 3"]
+    assert said == ["t 1: x -300 to 3, as g = 1 asks x >= 3 and x <= 40"]
     with pytest.raises(ValueError):
         I.repair(df, band, mode="random")
 
