@@ -147,9 +147,23 @@ def onehot_and_parity(spark, sf_dir):
     return spark.createDataFrame([(r["cols"], r["kind"], r["k"], r["parity_bit"], r["allow_zero"]) for r in found], "cols string, kind string, k int, parity_bit int, allow_zero boolean")
 
 
-@query()
+_BIT_COLUMNS = ("b1", "b2", "b3", "h1", "h2", "h3")
+
+
+def _holds(lhs: tuple[str, ...], rhs: str) -> str:
+    return f"(SELECT max(d) = 1 FROM (SELECT count(DISTINCT {rhs}) AS d FROM bits GROUP BY {', '.join(lhs)}))"
+
+
+def _cycle_sql(s: tuple[str, ...]) -> str:
+    """The set, where each column depends on all the others and on no fewer."""
+    rest = {c: tuple(x for x in s if x != c) for c in s}
+    fewer = [f"NOT {_holds((x,), c)}" for c in s for x in rest[c] if len(s) > 2]
+    return f"SELECT '{','.join(s)}' AS cols WHERE {' AND '.join([*(_holds(rest[c], c) for c in s), *fewer])}"
+
+
+@query(f"WITH {_BITS}\n" + "\nUNION ALL ".join(_cycle_sql(s) for k in (2, 3) for s in combinations(_BIT_COLUMNS, k)))
 def cycle_detection(spark, sf_dir):
-    exact, _ = D.discover_fds(bits(spark, sf_dir).select("h1", "h2", "h3", "b1", "b2", "b3"), 2, 0.01)
+    exact, _ = D.discover_fds(bits(spark, sf_dir).select(*_BIT_COLUMNS), 2, 0.01)
     sets = D.full_cycles([(d.lhs, d.rhs) for d in exact])
     return spark.createDataFrame([(",".join(s),) for s in sets], "cols string")
 
@@ -159,7 +173,16 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
-@query("SELECT * FROM (VALUES " + _values([(list(a), b, k) for a, b, _, k, _ in S.schema_fds(DRIVER)]) + ") t(lhs, rhs, kind)")
+#: What the driver's declared keys and references imply: key, kind, and the columns that follow, by hand (fixed values).
+_SCHEMA_FDS = [
+    ("r_regionkey", "pk", "r_name"), ("n_nationkey", "pk", "n_name n_regionkey"), ("n_regionkey", "fk", "r_name"),
+    ("c_custkey", "pk", "c_name c_nationkey c_acctbal c_mktsegment"), ("c_name", "unique_nullable", "c_custkey c_nationkey c_acctbal c_mktsegment"), ("c_nationkey", "fk", "n_name n_regionkey"),
+    ("s_suppkey", "pk", "s_name s_nationkey s_acctbal"), ("s_nationkey", "fk", "n_name n_regionkey"), ("p_partkey", "pk", "p_name p_brand p_type p_size p_retailprice"),
+    ("o_orderkey", "pk", "o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"), ("o_custkey", "fk", "c_name c_nationkey c_acctbal c_mktsegment"),
+]
+
+
+@query("SELECT [key] AS lhs, unnest(string_split(columns, ' ')) AS rhs, kind FROM (VALUES " + _values(_SCHEMA_FDS) + ") t(key, kind, columns)")
 def schema_fds(spark, sf_dir):
     return S.schema_fd_frame(spark, DRIVER).select("lhs", "rhs", "kind")
 

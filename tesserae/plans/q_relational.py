@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import relational as R
@@ -133,7 +134,7 @@ SELECT n_name, n_suppliers, n_customers FROM (
 both("timestamp_arithmetic", """
 SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate, l_shipdate) AS days,
   CASE WHEN l_shipdate - o_orderdate > INTERVAL '30' DAY THEN 1 ELSE 0 END AS over_month
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate IS NOT NULL AND l_quantity >= 45
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate IS NOT NULL
 """, "lineitem orders")
 
 both("having_distinct", """
@@ -166,12 +167,12 @@ FROM orders ORDER BY status DESC NULLS LAST, o_totalprice DESC, o_orderkey LIMIT
 
 
 @query("""
-SELECT l_orderkey, 'quantity' AS measure, l_quantity AS amount, l_linenumber AS line FROM lineitem WHERE l_quantity >= 49
-UNION ALL SELECT l_orderkey, 'price', l_extendedprice, l_linenumber FROM lineitem WHERE l_quantity >= 49
-UNION ALL SELECT l_orderkey, 'tax', l_tax, l_linenumber FROM lineitem WHERE l_quantity >= 49
+SELECT l_orderkey, 'quantity' AS measure, l_quantity AS amount, l_linenumber AS line FROM lineitem
+UNION ALL SELECT l_orderkey, 'price', l_extendedprice, l_linenumber FROM lineitem
+UNION ALL SELECT l_orderkey, 'tax', l_tax, l_linenumber FROM lineitem
 """)
 def unpivot_measures(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
+    df = table(spark, sf_dir, "lineitem")
     groups = {"quantity": "l_quantity", "price": "l_extendedprice", "tax": "l_tax"}
     return R.unpivot(df, ["l_orderkey"], {k: {"amount": c, "line": "l_linenumber"} for k, c in groups.items()}, "measure")
 
@@ -271,15 +272,16 @@ def fraction_sample(spark, sf_dir):
 
 
 @query("""
+WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_discount, l_tax FROM lineitem)
 SELECT a.l_partkey AS id, list_sort(list(DISTINCT b.l_partkey)) AS partners
-FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linestatus, l_discount, l_tax FROM lineitem WHERE l_quantity >= 48) a
-JOIN (SELECT DISTINCT l_partkey, l_returnflag, l_linestatus, l_discount, l_tax FROM lineitem WHERE l_quantity >= 48) b
-  ON a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus AND a.l_discount IS NOT DISTINCT FROM b.l_tax
-  AND a.l_tax IS NOT DISTINCT FROM b.l_discount AND a.l_partkey <> b.l_partkey GROUP BY 1
+FROM d a JOIN d b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus
+  AND a.l_discount IS NOT DISTINCT FROM b.l_tax AND a.l_tax IS NOT DISTINCT FROM b.l_discount AND a.l_partkey <> b.l_partkey GROUP BY 1
 """)
 def reciprocal_match(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("id"), "l_returnflag", "l_linestatus", "l_discount", "l_tax").distinct()
-    return R.reciprocal_partners(df, "id", ["l_returnflag", "l_linestatus"], [("l_discount", "l_tax")])
+    """Parts of one supplier, in lines of the same state, with discount and tax exchanged."""
+    keep = ["l_suppkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax"]
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), *keep).distinct()
+    return R.reciprocal_partners(df, "id", keep[:3], [("l_discount", "l_tax")])
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -290,10 +292,10 @@ def customers_without_orders(spark, sf_dir):
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_tax END AS l_tax,
-  CASE WHEN l_discount > 0.05 AND l_quantity > 40 THEN 0.05 ELSE l_discount END AS l_discount FROM lineitem WHERE l_quantity >= 40
+  CASE WHEN l_discount > 0.05 AND l_quantity > 40 THEN 0.05 ELSE l_discount END AS l_discount FROM lineitem
 """)
 def conditional_updates(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").filter("l_quantity >= 40")
+    df = table(spark, sf_dir, "lineitem")
     out = R.conditional_update(df, [("l_tax", F.expr("l_returnflag = 'N'"), F.lit(None)), ("l_discount", F.expr("l_discount > 0.05 and l_quantity > 40"), F.lit(0.05))])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_discount")
 
@@ -312,3 +314,59 @@ def token_lists(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY c_mktsegment NULLS LAST, c_custkey) AS id, c_mktsegment, c_custkey FROM customer")
 def surrogate_ids(spark, sf_dir):
     return R.surrogate_ids(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment", "c_custkey"], "id")
+
+
+@query("""
+SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus FROM orders o
+WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND (CASE WHEN c.c_acctbal < 0 THEN 'F' ELSE 'O' END) = o.o_orderstatus)
+""")
+def rows_in_other_frame(spark, sf_dir):
+    """Orders whose (customer, status) is a row of another frame."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") < 0, "F").otherwise("O").alias("o_orderstatus"))
+    return R.matching_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), c.distinct())
+
+
+@query("""
+SELECT s_suppkey, s_name, n_parts FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1) USING (s_suppkey)
+""")
+def one_to_one_merge(spark, sf_dir):
+    many = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("n_parts"))
+    return R.merge_one_to_one(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), many, ["s_suppkey"])
+
+
+@query("SELECT n_nationkey, n_name, r_name, row_number() OVER (ORDER BY r_name DESC, n_name) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+def restored_order(spark, sf_dir):
+    """Nations in the order of a list of keys; `place` is where each row came out."""
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    by_region = named.select("n_nationkey", F.row_number().over(Window.orderBy(F.desc("r_name"), "n_name")).alias("ordinal"))  # 25 rows
+    return R.in_key_order(named, by_region, "n_nationkey").withColumn("place", F.monotonically_increasing_id() + 1).coalesce(1)
+
+
+@query("""
+SELECT n_nationkey, coalesce(n, 0) AS n_suppliers, coalesce(most, 0.0) AS most FROM nation
+LEFT JOIN (SELECT s_nationkey, count(*) AS n, max(CASE WHEN s_acctbal >= 0 THEN s_acctbal END) AS most FROM supplier WHERE s_acctbal < 5000 GROUP BY 1) ON s_nationkey = n_nationkey
+""")
+def nulls_as_zero(spark, sf_dir):
+    """A left join's gaps filled with 0."""
+    s = table(spark, sf_dir, "supplier").filter("s_acctbal < 5000").groupBy(F.col("s_nationkey").alias("n_nationkey"))
+    per = s.agg(F.count("*").alias("n_suppliers"), F.max(F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))).alias("most"))
+    return table(spark, sf_dir, "nation").select("n_nationkey").join(per, "n_nationkey", "left").fillna(0, ["n_suppliers", "most"])
+
+
+@query("""
+WITH l AS (SELECT DISTINCT '[' || CAST(p_size - p_size % 5 AS VARCHAR) || '-' || CAST(p_size - p_size % 5 + 4 AS VARCHAR) || CASE WHEN p_size >= 25 THEN ')' ELSE ']' END AS label FROM part),
+b AS (SELECT label, CAST(regexp_extract(label, '([0-9]+)-', 1) AS DOUBLE) AS lo, CAST(regexp_extract(label, '-([0-9]+)', 1) AS DOUBLE) AS hi, label LIKE '%]' AS hi_inclusive FROM l)
+SELECT CAST(row_number() OVER (ORDER BY lo, hi, label) AS INTEGER) AS rule_id, label, lo, hi, true AS lo_inclusive, hi_inclusive FROM b
+""")
+def bucket_rules_of_labels(spark, sf_dir):
+    """Interval rules read from a column's labels."""
+    low = F.col("p_size") - F.col("p_size") % 5
+    label = F.concat(F.lit("["), low.cast("string"), F.lit("-"), (low + 4).cast("string"), F.when(F.col("p_size") >= 25, ")").otherwise("]"))
+    rules = R.bucket_rules(table(spark, sf_dir, "part").select(label.alias("size_band"), "p_size"), "size_band", "p_size")
+    return rules.drop("bucket_col", "base_col")
+
+
+@query("SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal) FROM customer")
+def star_with_same_name(spark, sf_dir):
+    sql = "SELECT *, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, FROM customer"
+    return run(spark, sql, {"customer": table(spark, sf_dir, "customer")})
