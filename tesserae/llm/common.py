@@ -13,6 +13,8 @@ from tesserae.sources.store import checkpointed, numbered
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table with at most so many rows counts as small enough to broadcast; the count is checked each time.
 BROADCAST_ROWS = 100_000
+#: Rows of one key, in joins with a table that is not small, that are one task's work.
+HOT_ROWS = 1 << 14
 
 
 def remembered(name: str, make):
@@ -43,16 +45,26 @@ def n_words(text: Column) -> Column:
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
-    """Join a table with a much smaller one by a non-null key of which one value may hold most rows of the big table.
+    """Join a table with a smaller one by a non-null key of which one value may hold most rows of the big table.
 
-    The small table is broadcast if it has at most BROADCAST_ROWS rows, which is counted. Else the key is
-    salted: `spread`, an integer of the big table's row, deals a hot key over 64 values, for each of which the
-    small table's row is repeated.
+    The small table is broadcast if it has at most BROADCAST_ROWS rows, which is counted. Else keys are counted, and
+    the hot ones salted: `spread`, an integer of the big table's row, deals a hot key over as many values as it has
+    times HOT_ROWS rows, for each of which the small table's row is repeated. A key is hot above HOT_ROWS rows, or, of
+    very large tables, above that share of all rows that at most BROADCAST_ROWS keys can have; so the table of hot
+    keys can be broadcast.
     """
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return big.withColumn("_salt", F.pmod(spread, F.lit(64)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    counts = checkpointed(big.groupBy(key).agg(F.count("*").alias("_count")))
+    total = counts.agg(F.sum("_count")).first()[0] or 0
+    limit = max(HOT_ROWS, -(-total // max(1, BROADCAST_ROWS)))
+    hot = checkpointed(counts.filter(F.col("_count") > limit).select(key, F.ceil(F.col("_count") / limit).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
+    salted = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def has_plain_ids(df: DataFrame, id_col: str) -> bool:

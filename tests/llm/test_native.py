@@ -46,8 +46,10 @@ def test_targets_and_takes(spark):
         assert Counter((r["doc_id"], r["taken"]) for r in out) == Counter((r["doc_id"], r["taken"]) for r in again)
 
 
-def test_a_hot_source_and_long_lists_of_sources(spark, monkeypatch):
-    monkeypatch.setattr("tesserae.llm.common.BROADCAST_ROWS", 0)  # the salted join
+@pytest.mark.parametrize("broadcast", [0, 8])
+def test_a_hot_source_and_long_lists_of_sources(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("tesserae.llm.common.BROADCAST_ROWS", broadcast)  # no broadcast; at 8 the hot source is salted
+    monkeypatch.setattr("tesserae.llm.common.HOT_ROWS", 50)
     rows = [(i, "w " * (i % 7 + 1), "en", "hot" if i % 3 else f"s{i % 30}", 1) for i in range(600)]
     out = M.mix_sources(frame(spark, rows)).collect()
     assert len(out) == 600

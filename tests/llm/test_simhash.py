@@ -5,7 +5,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tesserae.llm import common
 from tesserae.llm import simhash as S
 from tesserae.llm.components import components
 
@@ -158,3 +160,16 @@ def test_like_all_pairs_around_the_threshold(spark, monkeypatch, tile):
             a, b = sorted((root[i], root[j]))
             root = [a if r == b else r for r in root]
     assert {r["doc_id"] for r in S.drop_near_duplicates(frame(spark, rows)).collect()} == set(root)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_joins_spread_hot_keys_only(spark, monkeypatch, how):
+    big = spark.range(5000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+    small = spark.range(4500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    plain = sorted(map(tuple, big.join(small, "k", how).select("k", "row", "x").collect()))
+    for rows, hot in ((100_000, 100), (1000, 100), (1000, 10_000), (0, 1)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", max(1, rows))
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        out = common.join_small(big, small, "k", F.col("row"), how)
+        assert sorted(map(tuple, out.select("k", "row", "x").collect())) == plain
+    assert common.join_small(big.limit(0), small, "k", F.col("row"), how).count() == 0
