@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +21,31 @@ HOT_ROWS = 1 << 14
 
 
 def remembered(name: str, make):
-    """What make() returned when a worker first asked for the name; kept as long as that Python worker lives."""
+    """What make() returned when a worker first asked for the name; kept until that Python worker ends or is asked for
+    another name, so that a worker never holds the memories of two operators."""
     kept = vars(sys).setdefault("_tesserae_kept", {})
     if name not in kept:
+        kept.clear()
         kept[name] = make()
     return kept[name]
 
 
+def tidy(run: Callable, name: str | None = None) -> Callable:
+    """run, a function from batches to batches, for a worker that lives on between tasks: at its start what is remembered
+    under other names is dropped, at its end freed memory goes back to the machine, so that idle workers hold little."""
+
+    def tidied(batches):
+        kept = vars(sys).setdefault("_tesserae_kept", {})
+        for other in [k for k in kept if k != name]:
+            del kept[other]
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+            trim(0)
+
+    return tidied
+
+
 def sampled(key: Column, share: float) -> Column:
     """About a share of the rows, however small, by hash of a key."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))

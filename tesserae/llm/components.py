@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_small, partitions
+from .common import checkpointed, join_small, partitions, tidy
 
 
 class Forest:
@@ -66,7 +66,7 @@ def components(links: DataFrame) -> DataFrame:
     n = partitions(links.sparkSession)
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        edges = checkpointed(edges.select("u", "v").repartition(n, "u").mapInArrow(_contract, "u long, v long, moved boolean"))
+        edges = checkpointed(edges.select("u", "v").repartition(n, "u").mapInArrow(tidy(_contract), "u long, v long, moved boolean"))
         if edges.filter("moved").isEmpty():
             break
     tree = edges.select("u", "v")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, remembered
+from .common import checkpointed, partitions, remembered, tidy
 
 #: Token ids of a sequence, and the id after each document.
 CAPACITY, END = 2048, 0
@@ -69,6 +69,11 @@ class _WordIds(dict):
         return out
 
 
+def memory(tokenizer_file: str) -> str:
+    """The name under which a worker remembers words' ids."""
+    return f"ids {tokenizer_file}"
+
+
 def tokenize(tokenizer_file: str):
     """A function from a text to its ids as little-endian bytes. Where the tokenizer drops white space, so that no token
     spans it, words are encoded once and remembered for as long as the worker lives; texts with characters that Python
@@ -77,7 +82,7 @@ def tokenize(tokenizer_file: str):
     import tokenizers
 
     path = tokenizer_file if os.path.exists(tokenizer_file) else public_tokenizers.path(tokenizer_file)
-    cache = remembered(f"ids {path}", lambda: _WordIds(tokenizers.Tokenizer.from_file(path)))
+    cache = remembered(memory(tokenizer_file), lambda: _WordIds(tokenizers.Tokenizer.from_file(path)))
 
     def run(text: str | None) -> bytes:
         text = text or ""
@@ -113,7 +118,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_file: str, capac
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, memory(tokenizer_file)), schema)
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -331,7 +336,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
-    return numbered.select(*names, F.col("number").cast("long").alias("number")).mapInArrow(place, schema).withColumnRenamed("id", id_col)
+    return numbered.select(*names, F.col("number").cast("long").alias("number")).mapInArrow(tidy(place, memory(tokenizer_file)), schema).withColumnRenamed("id", id_col)
 
 
 def op2_packing(spark, sf_dir):

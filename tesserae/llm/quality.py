@@ -15,14 +15,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembered, sampled
+from .common import remembered, sampled, tidy
 
 #: log2 of the number of slots.
 BITS = 18
 #: The classifier is fitted on at most about so many labelled rows, chosen by hash of the id.
 MAX_ROWS = 4000
-#: Words whose hash a worker remembers.
-CACHE = 250_000
+#: Words whose hash a worker remembers, and under which name.
+CACHE, MEMORY = 250_000, "quality"
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -134,12 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")
 
     def features(batches):
-        f = remembered("quality", Featurizer)
+        f = remembered(MEMORY, Featurizer)
         for b in batches:
             vectors = [sparse(f.kinds(t)) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("_y"), pa.array([s.tobytes() for s, _ in vectors], pa.binary()), pa.array([v.tobytes() for _, v in vectors], pa.binary())], ["id", "y", "slots", "vals"])
 
-    got = rows.select("_id", "_y", "_text").mapInArrow(features, "id string, y int, slots binary, vals binary").toArrow()
+    got = rows.select("_id", "_y", "_text").mapInArrow(tidy(features, MEMORY), "id string, y int, slots binary, vals binary").toArrow()
     got = got.take(pa.compute.sort_indices(pa.array([xxhash.xxh64_intdigest(i) for i in got.column("id").to_pylist()], pa.uint64()))).to_pydict()
     return fit_ftrl([(np.frombuffer(s, "u4"), np.frombuffer(v, "f4"), y) for s, v, y in zip(got["slots"], got["vals"], got["y"], strict=True)])
 
@@ -149,14 +149,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     weights, bias = model
 
     def run(batches):
-        f = remembered("quality", Featurizer)
+        f = remembered(MEMORY, Featurizer)
         for b in batches:
             dots = [sum(float(weights[k].mean(dtype="f8")) for k in f.kinds(t)) + bias for t in b.column(1).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(dots, "f8"), -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, MEMORY), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: fl
     names = docs.columns
 
     def run(batches):
-        f = remembered("quality", Featurizer)
+        f = remembered(MEMORY, Featurizer)
         for b in batches:
             keep = []
             for t in b.column(names.index(text_col)).to_pylist():
@@ -172,7 +172,7 @@ def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: fl
                 keep.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))) >= threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, MEMORY), docs.schema)
 
 
 def op5_quality(spark, sf_dir):

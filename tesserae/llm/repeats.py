@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, remembered
+from .common import partitions, remembered, tidy
 
 #: Symbols that are worked on at a time, at least one text.
 BATCH = 1 << 18
@@ -36,8 +36,8 @@ PIECE = 7 << 23
 FLUSH_GRAMS, FLUSH_BYTES = 1 << 19, 1 << 23
 #: A gram is hot that occurs more often than this among the grams that a task sends at a time, or in its bucket.
 LOCAL, HOT = 128, 1 << 14
-#: Words whose hash a worker remembers.
-CACHE = 1 << 18
+#: Words whose hash a worker remembers, and under which name.
+CACHE, MEMORY = 1 << 18, "word hashes"
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -105,7 +105,7 @@ class Words:
 
     def load(self, text: str | None) -> tuple[tuple[bytes, np.ndarray], np.ndarray]:
         words = (text or "").encode().split()
-        cache = remembered("word hashes", _Hashes)
+        cache = remembered(MEMORY, _Hashes)
         if len(cache) > CACHE:
             cache.clear()
         ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
@@ -546,13 +546,13 @@ def repeat_spans(rows: DataFrame, kind, across_rows: bool, earlier: Callable) ->
     rest = [c for c in rows.columns if c not in ("_rid", "_text")]
     firsts = rows.groupBy(F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256).alias("_sha")).agg(F.min("_rid").alias("_rid")).select("_rid").withColumn("_first", F.lit(True))
     heads = texts.join(firsts, "_rid").select("_rid", "_text", *rest)
-    asked = heads.mapInArrow(send_grams(kind, buckets), GRAM_ROWS).repartition(n, "bucket")
-    told = asked.mapInArrow(match_grams(across_rows), "_rid long, gram long, hot boolean")
+    asked = heads.mapInArrow(tidy(send_grams(kind, buckets), MEMORY), GRAM_ROWS).repartition(n, "bucket")
+    told = asked.mapInArrow(tidy(match_grams(across_rows), MEMORY), "_rid long, gram long, hot boolean")
     told = told.groupBy("_rid").agg(F.collect_set("gram").alias("_grams"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("_hot"))
     shown = texts.join(told, "_rid").select("_rid", "_text", "_grams", "_hot", *rest)
-    sent = shown.mapInArrow(send_segments(kind, buckets, across_rows), SEGMENT_ROWS).repartition(n, "bucket")
-    spans = sent.mapInArrow(match_segments(kind, buckets, across_rows, earlier), SPAN_ROWS).repartition(n, "bucket")
-    spans = spans.mapInArrow(join_spans, SPANS)
+    sent = shown.mapInArrow(tidy(send_segments(kind, buckets, across_rows), MEMORY), SEGMENT_ROWS).repartition(n, "bucket")
+    spans = sent.mapInArrow(tidy(match_segments(kind, buckets, across_rows, earlier), MEMORY), SPAN_ROWS).repartition(n, "bucket")
+    spans = spans.mapInArrow(tidy(join_spans, MEMORY), SPANS)
     marked = texts.join(firsts, "_rid", "left").join(spans, "_rid", "left")
     return marked.select(*rows.columns, F.col("_first").isNull().alias("copy"), "spans")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_small, partitions, with_row_ids
+from .common import checkpointed, join_small, partitions, tidy, with_row_ids
 from .components import Forest, components
 
 #: Number of reference fingerprints; they follow from their number alone.
@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             fp = np.frombuffer(b"".join(fingerprint(t.as_py(), shingle) for t in b.column(1)), ">i8").astype("i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def block_masks(radius: int) -> list[int]:
@@ -152,7 +152,7 @@ def _links(rows: DataFrame, links, tile_rows: int) -> DataFrame:
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.withColumn("bucket", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")))
-    return rows.select("bucket", "node", "fp").repartition(n, "bucket").mapInArrow(links, "a long, b long")
+    return rows.select("bucket", "node", "fp").repartition(n, "bucket").mapInArrow(tidy(links), "a long, b long")
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -296,11 +296,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
 
     exact = lambda b: _forest_of(b, lambda x: similar(x, similarity))
     least = least_equal(similarity)
-    rows = nodes.select("node", "fp").mapInArrow(keyed, "key long, node long, fp binary")
+    rows = nodes.select("node", "fp").mapInArrow(tidy(keyed), "key long, node long, fp binary")
     groups = components(_links(rows, lambda b: _forest_of(b, lambda x: _sketch_links(x, least)), TILE_ROWS))
     asked = texts.join(groups.withColumnRenamed("node", "_rid"), "_rid").select(F.col("component").alias("key"), F.col("_rid").alias("node"), "_text")
-    members = checkpointed(asked.mapInArrow(sets, "key long, node long, fp binary"))
-    small = nodes.filter("short is not null").select("node", "short").mapInArrow(short, "key long, node long, fp binary")
+    members = checkpointed(asked.mapInArrow(tidy(sets), "key long, node long, fp binary"))
+    small = nodes.filter("short is not null").select("node", "short").mapInArrow(tidy(short), "key long, node long, fp binary")
     return _links(members, exact, TILE_SETS).union(_links(small, exact, TILE_ROWS))
 
 
@@ -324,7 +324,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 short = [x.tobytes() if 0 < len(x) <= SHORT else None for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *[pa.array(c, pa.binary()) for c in (same, fp, short)]], ["_rid", "same", "fp", "short"])
 
-    fps = checkpointed(rows.select("_rid", "_text").mapInArrow(run, "_rid long, same binary, fp binary, short binary"))
+    fps = checkpointed(rows.select("_rid", "_text").mapInArrow(tidy(run), "_rid long, same binary, fp binary, short binary"))
     nodes = checkpointed(fps.groupBy("same").agg(F.min("_rid").alias("node"), F.first("fp").alias("fp"), F.first("short").alias("short")))
     roots = components(similar_links(nodes, rows.select("_rid", "_text"), shingle, similarity))
     firsts = nodes.select("node").join(roots.filter("component <> node"), "node", "left_anti")

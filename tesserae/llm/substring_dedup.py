@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row_ids
+from .common import tidy, with_row_ids
 from .repeats import Segments, Words, covered, repeat_spans
 
 #: Words of a block: the most for which each window of 13 words holds a whole one.
@@ -101,7 +101,7 @@ def dedup_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return marked.select("_id", "_text", "copy", "spans").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return marked.select("_id", "_text", "copy", "spans").mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def op8_substrings(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row_ids
+from .common import tidy, with_row_ids
 from .repeats import Bytes, Segments, covered, repeat_spans
 
 #: Period of the difference cover, and its residues: every difference modulo the period is one of two residues.
@@ -204,7 +204,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    out = marked.select("_id", "_text", "copy", "spans", *extra).mapInArrow(run, schema)
+    out = marked.select("_id", "_text", "copy", "spans", *extra).mapInArrow(tidy(run), schema)
     return out.withColumnRenamed("id", id_col)
 
 
