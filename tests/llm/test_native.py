@@ -135,3 +135,18 @@ def test_the_cascade_is_exact_over_its_universe(spark, monkeypatch, constant):
     assert got == {r["key"] for r in listed.collect()}
     empty = U.BloomCascade(listed.limit(0), universe)
     assert universe.filter(empty.contains(F.col("key"))).count() == 0
+
+
+def test_workers_keep_one_memory_and_give_it_back():
+    from tesserae.llm.common import remembered, tidy
+
+    first = remembered("first", dict)
+    assert remembered("first", dict) is first
+    second = remembered("second", dict)
+    assert remembered("first", dict) is not first
+    assert second is not remembered("second", dict)  # it was dropped when the first was asked for again
+    kept = remembered("kept", dict)
+    assert list(tidy(lambda b: (x + 1 for x in b), "kept")([1, 2])) == [2, 3]
+    assert remembered("kept", dict) is kept
+    assert list(tidy(iter)([])) == []
+    assert remembered("kept", dict) is not kept
