@@ -102,4 +102,9 @@ def columns_of(mask: int, features: list[str]) -> list[str]:
 
 def seeded(key: Column, seed: int | str) -> Column:
     """A number in 0 to 2^32 - 1 from a row's key, the same in any SQL engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.conv(seeded_hex(key, seed), 16, 10).cast("long")
+
+
+def seeded_hex(key: Column, seed: int | str) -> Column:
+    """seeded() as eight hexadecimal digits, which sort like the numbers."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import coalitions as C
 from tesserae.operators import integrity as I
+from tesserae.sources.store import checkpointed
 
 #: Background rows, and sampled coalitions, at most: they are sent to every task.
 MAX_BACKGROUND, MAX_SAMPLES = 10_000, 1 << 20
@@ -104,11 +105,12 @@ def monte_carlo(explain: DataFrame, key: str, background: DataFrame, features: l
     """
     m, rules = len(features), list(closure)
     unique = max_skips is not None and n < 2 ** (m - 1)
-    d = C.draws(explain, key, n + max_skips if unique else n, m, seed)
+    rows = explain.select(key).repartition(int(explain.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # one small file's draws are many tasks' work
+    d = C.draws(rows, key, n + max_skips if unique else n, m, seed)
     if canon:
         every = canon(d.select(key, F.col("before").alias("mask")).union(d.select(key, F.col("after").alias("mask"))).distinct())
         for mask, s in (("before", "s0"), ("after", "s1")):
-            d = d.join(every.select(key, F.col("mask").alias(mask), F.col("canon").alias(s)), [key, mask])
+            d = d.join(every.select(key, F.col("mask").alias(mask), F.col("canon").alias(s)).hint("merge"), [key, mask])
     else:
         d = d.withColumn("s0", C.closed(F.col("before"), rules)).withColumn("s1", C.closed(F.col("after"), rules))
     if unique:
@@ -117,13 +119,17 @@ def monte_carlo(explain: DataFrame, key: str, background: DataFrame, features: l
         seen = d.select(key, F.col("s0").alias("canon"), "draw").union(d.select(key, F.col("s1").alias("canon"), "draw"))
         kept = C.budget(seen, key, "draw", max_classes).select(key, "canon")
         for s in ("s0", "s1"):
-            d = d.join(kept.withColumnRenamed("canon", s), [key, s], "left_semi")
-    asked = d.select(key, F.col("s0").alias("mask")).union(d.select(key, F.col("s1").alias("mask")))
-    v = values(explain, key, asked, background, features, score, repair)
-    d = d.join(v.select(key, F.col("mask").alias("s0"), F.col("value").alias("v0")), [key, "s0"]).join(v.select(key, F.col("mask").alias("s1"), F.col("value").alias("v1")), [key, "s1"])
+            d = d.join(kept.withColumnRenamed("canon", s).hint("merge"), [key, s], "left_semi")
+    # A row's draws are few distinct pairs of coalitions, each told once with its number. The tables here grow with
+    # rows times draws, whatever the size of the file they come from: none is to be broadcast.
+    pairs = checkpointed(d.groupBy(key, "s0", "s1").agg(F.count("*").alias("_c")))
+    sides = pairs.withColumn("mask", F.explode(F.array("s0", "s1")))
+    v = values(explain, key, sides, background, features, score, repair)
+    side = lambda s: F.max(F.when(F.col("mask") == F.col(s), F.col("value")))
+    d = sides.join(v.hint("merge"), [key, "mask"]).groupBy(key, "s0", "s1").agg(F.first("_c").alias("_c"), side("s0").alias("v0"), side("s1").alias("v1"))
     new = F.col("s1").bitwiseXOR(F.col("s0"))
-    share = F.when(new != 0, (F.col("v1") - F.col("v0")) / F.bit_count(new)).otherwise(0.0)
-    total = F.count(F.when(new != 0, 1))
+    share = F.when(new != 0, (F.col("v1") - F.col("v0")) / F.bit_count(new) * F.col("_c")).otherwise(0.0)
+    total = F.coalesce(F.sum(F.when(new != 0, F.col("_c"))), F.lit(0))
     aggs = [F.coalesce(F.sum(F.when(new.bitwiseAND(F.lit(1 << i)) != 0, share)), F.lit(0.0)).alias(f"p{i}") for i in range(m)]
     wide = d.groupBy(key).agg(total.alias("_n"), *aggs)
     factor = m if scale == "shapley" else 1

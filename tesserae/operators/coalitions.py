@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import mask_of, seeded
+from tesserae.functions.scalars import mask_of, seeded, seeded_hex
 
 BITS = 62
 
@@ -84,14 +84,31 @@ def size_histogram(masks: DataFrame, column: str = "mask") -> DataFrame:
     return masks.groupBy(F.bit_count(column).cast("int").alias("size")).agg(F.count("*").alias("n"))
 
 
+#: With at most so many features, draws compare them pair by pair in generated code; more are sorted in arrays.
+COMPARED = 8
+
+
 def draws(rows: DataFrame, key: str, n: int, features: int, seed: int) -> DataFrame:
     """(key, draw, pivot, before, after): n draws a row of a pivot feature and a random set of others, its size
     uniform from 0 to features - 1; after is before with the pivot. All from md5, so that reruns agree."""
-    d = rows.select(key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    tag = lambda what: seeded(F.concat_ws("|", F.col(key).cast("string"), F.col("draw").cast("string"), F.lit(what)), seed)
-    d = d.withColumn("pivot", (tag("pivot") % features).cast("int")).withColumn("_size", (tag("size") % features).cast("int"))
-    ranked = F.array_sort(F.filter(F.array(*[F.struct(tag(f"f{i}").alias("h"), F.lit(i).alias("i")) for i in range(features)]), lambda x: x["i"] != F.col("pivot")))
-    bits = F.transform(F.slice(ranked, F.lit(1), F.col("_size")), lambda x: F.expr("1L") * F.pow(F.lit(2.0), x["i"]).cast("long"))
-    before = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    # A join, not explode: Spark takes what explode makes for as small as its input, and would broadcast it.
+    d = rows.select(key).join(F.broadcast(rows.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("draw"))), F.lit(True), "inner")
+    text = lambda what: F.concat_ws("|", F.col(key).cast("string"), F.col("draw").cast("string"), F.lit(what))
+    d = d.withColumn("pivot", (seeded(text("pivot"), seed) % features).cast("int")).withColumn("_size", (seeded(text("size"), seed) % features).cast("int"))
+    if features <= COMPARED:
+        d = d.withColumns({f"_h{i}": seeded_hex(text(f"f{i}"), seed) for i in range(features)})
+        bits = [F.when((F.col("pivot") != i) & (_rank(i, features) < F.col("_size")), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(features)]
+        before = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    else:
+        ranked = F.array_sort(F.filter(F.array(*[F.struct(seeded_hex(text(f"f{i}"), seed).alias("h"), F.lit(i).alias("i")) for i in range(features)]), lambda x: x["i"] != F.col("pivot")))
+        bits = F.transform(F.slice(ranked, F.lit(1), F.col("_size")), lambda x: F.expr("1L") * F.pow(F.lit(2.0), x["i"]).cast("long"))
+        before = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     pivot_bit = F.pow(F.lit(2.0), F.col("pivot")).cast("long")
-    return d.withColumn("before", before).withColumn("after", F.col("before").bitwiseOR(pivot_bit)).drop("_size")
+    return d.select(key, "draw", "pivot", before.alias("before")).withColumn("after", F.col("before").bitwiseOR(pivot_bit))
+
+
+def _rank(i: int, features: int) -> Column:
+    """How many features but the pivot come before feature i in order of (_h, number)."""
+    h = [F.col(f"_h{j}") for j in range(features)]
+    less = [(F.col("pivot") != j) & (h[j] <= h[i] if j < i else h[j] < h[i]) for j in range(features) if j != i]
+    return reduce(lambda a, b: a + b, [x.cast("int") for x in less], F.lit(0))

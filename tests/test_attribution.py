@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -245,3 +246,22 @@ def test_provenance_widens_coalitions(spark, data):
     phi = frame(A.exact(dx, "row_id", dz, FEATURES, score, canon=canon))
     for r in x:
         assert np.allclose(phi[r[0]], shapley(r, z, lambda m, r=r: got[r[0], m]))
+
+
+def test_draws_are_no_small_table(spark, tmp_path):
+    """A file of a few kB is n draws a row: neither its draws nor what is joined to them may go through the driver."""
+    spark.range(2000).select(F.col("id").alias("row_id"), *[(F.col("id") % (7 + i)).cast("int").alias(f) for i, f in enumerate(FEATURES)]).write.parquet(f"{tmp_path}/x")
+    x = spark.read.parquet(f"{tmp_path}/x")
+    size = lambda d: int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(C.draws(x, "row_id", 100, 4, 9)) >= 100 * size(x.select("row_id"))
+    phi = A.monte_carlo(x, "row_id", x.limit(4), FEATURES, score, n=100, seed=1)
+    plan = phi._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[[^\]]*,", plan)
+
+
+@pytest.mark.parametrize("features", [1, 2, 5])
+def test_draws_compared_like_draws_sorted(spark, monkeypatch, features):
+    rows = spark.range(30).withColumnRenamed("id", "row_id")
+    got = sorted(map(tuple, C.draws(rows, "row_id", 50, features, 3).collect()))
+    monkeypatch.setattr(C, "COMPARED", 0)
+    assert got == sorted(map(tuple, C.draws(rows, "row_id", 50, features, 3).collect()))
