@@ -5,6 +5,9 @@ equal blocks. Under such a key they are sorted by their Hamming distance to a fi
 those whose distances differ by at most the radius are paired, pairs whose distances to any other reference differ
 by more are discarded (the triangle inequality keeps every link), and the survivors are compared bit by bit. Equal
 fingerprints are one node throughout, and a task hands on a spanning forest of its links, never all pairs.
+
+The pipeline's stage takes the same way with wider fingerprints of the sets of shingles, whose blocks are as many as
+pairs of the similarity asked for need; what they find are candidates, and links are decided on the sets.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ PIVOTS = 16
 TILE_ROWS = 20_000
 #: The same for groups of sets of shingles.
 TILE_SETS = 2_000
-#: Orders of shingles of which a sketch has the least, and the bands of them that are keys.
-HASHES, BANDS, ROWS = 128, 24, 4
+#: 64-bit words of a wide fingerprint that are compared; all its bits make keys.
+WORDS = 4
+#: Share of pairs at the similarity itself that meet under no key.
+MISSED = 5e-6
+#: Groups of more fingerprints are searched from row to row; of a group of copies all pairs would be too many.
+LARGE = 1 << 10
 #: Shingles of a set that is looked up by its own shingles, so that no pair of such sets is missed.
 SHORT = 25
 #: Pairs held at a time.
@@ -42,9 +49,6 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i), seed=i) for i in range(n)], dtype="u8")
 
 
-_ORDERS = pivots(HASHES) | np.uint64(1)
-
-
 def bit_counts(h: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set, most significant first. The bits of one place in all eight bytes are
     summed in one word, 255 words at a time, before a byte can overflow."""
@@ -164,24 +168,46 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), "u8", len(found)))
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least value of a set under each of HASHES orders; two sets agree in one with the probability of their similarity."""
-    out = np.full(HASHES, np.iinfo("u8").max, "u8")
-    for i in range(0, len(h), 512):
-        np.minimum(out, (h[i : i + 512, None] * _ORDERS).min(axis=0), out=out)
-    return out
+def angle(similarity: float) -> float:
+    """Chance that a bit of two sets' fingerprints differs, at most: sets of that similarity are nearest to orthogonal
+    if they are of one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
 
+def blocks(rows: int, similarity: float) -> tuple[int, int]:
+    """(number, bits) of a wide fingerprint's blocks, each a key: longer for more rows, so that unlike rows of one key
+    stay few, and as many that of pairs of that similarity only MISSED differ in every block."""
+    bits = max(12, rows.bit_length() - 6)
+    equal = (1 - angle(similarity)) ** bits
+    return (math.ceil(math.log(MISSED) / math.log1p(-equal)) if equal < 1 else 1), bits
 
-def sketches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte of each of the minima (a row a set), and the keys of the BANDS bands of ROWS minima."""
-    keys = (m[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * _ORDERS[-ROWS:]).sum(axis=2, dtype="u8")
-    keys = (keys ^ (keys >> _S29)) * _M2 + np.arange(BANDS, dtype="u8") * _M1
-    return (m >> np.uint64(16)).astype("u1"), (keys ^ (keys >> _S32)).view("i8")
 
+def reach(similarity: float) -> int:
+    """Bits of WORDS words in which similar sets differ at most: six standard deviations over what is expected."""
+    n, q = 64 * WORDS, angle(similarity)
+    return math.ceil(n * q + 6 * math.sqrt(n * q * (1 - q)))
 
-def least_equal(similarity: float) -> int:
-    """Equal bytes of two sketches that similar sets have at least: six standard deviations under what is expected."""
-    return math.floor(HASHES * similarity - 6 * math.sqrt(HASHES * similarity * (1 - similarity)))
+
+def wide_fingerprint(h: np.ndarray, words: int) -> bytes:
+    """SimHash of a set of shingles in so many 64-bit words: a bit is 1 if it is set in over half the shingles' hashes,
+    of which each word mixes its own. Empty sets: 0."""
+    if not len(h):
+        return bytes(8 * words)
+    counts, seeds = 0, pivots(words)
+    for at in range(0, len(h), 255 * 8):
+        x = (h[at : at + 255 * 8, None] ^ seeds) * _M1
+        x = (x ^ (x >> _S29)) * _M2
+        x ^= x >> _S32
+        planes = (x[None] >> np.arange(8, dtype="u8")[:, None, None]) & np.uint64(0x0101010101010101)
+        sums = np.add.reduceat(planes, np.arange(0, x.shape[0], 255), axis=1)  # as in bit_counts()
+        counts = counts + sums.view("u1").reshape(8, -1, 8 * words).sum(axis=1, dtype="i8")
+    return np.packbits(counts.T.reshape(-1) * 2 > len(h)).tobytes()
+
+
+def block_keys(fp: np.ndarray, number: int, bits: int) -> np.ndarray:
+    """The keys of fingerprints (a row of bytes each): the number of a block, and its bits."""
+    x = np.unpackbits(fp, axis=1)[:, : number * bits].reshape(len(fp), number, bits)
+    return x @ (1 << np.arange(bits, dtype="i8")) + (np.arange(number, dtype="i8") << bits)
 
 
 def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
@@ -231,9 +257,44 @@ def _forest_of(batches, links):
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _sketch_links(fps: list[bytes], least: int):
-    x = np.frombuffer(b"".join(fps), "u1").reshape(len(fps), -1)
-    return _reached(len(x), lambda i, rest: (x[rest] == x[i]).sum(axis=1) >= least)
+def _wide_forest(batches, radius: int):
+    """_forest() of wide fingerprints. Groups over LARGE are searched from row to row, by the same tables."""
+    t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if t is None or not t.num_rows:
+        return
+    fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "u8").reshape(t.num_rows, -1)
+    nodes, local = np.unique(t.column("node").to_numpy(), return_inverse=True)
+    _, group, size = np.unique(t.column("bucket").to_numpy(), return_inverse=True, return_counts=True)
+    forest = Forest(len(nodes))
+    rows = np.flatnonzero((size[group] > 1) & (size[group] <= LARGE))
+    if rows.size:
+        for i, j in _near_pairs(group[rows], fp[rows], radius):
+            forest.link(local[rows[i]], local[rows[j]])
+    refs = pivots(PIVOTS * fp.shape[1]).reshape(PIVOTS, -1)
+    for g in np.flatnonzero(size > LARGE).tolist():
+        own = np.flatnonzero(group == g)
+        x = fp[own]
+        table = np.stack([np.bitwise_count(x ^ r).sum(axis=1, dtype="i2") for r in refs])
+
+        def near(i, rest, x=x, table=table):
+            at = np.arange(len(rest))
+            for d in table:
+                keep = np.abs(d[rest[at]] - d[i]) <= radius
+                if keep.mean() > 0.9:  # as in _near_pairs()
+                    break
+                at = at[keep]
+                if not at.size:
+                    break
+            hit = np.zeros(len(rest), bool)
+            hit[at] = np.bitwise_count(x[rest[at]] ^ x[i]).sum(axis=1, dtype="i2") <= radius
+            return hit
+
+        if links := list(_reached(len(own), near)):
+            i, j = np.array(links).T
+            forest.link(local[own[i]], local[own[j]])
+    roots = forest.roots(np.arange(len(nodes)))
+    tied = np.flatnonzero(roots != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[roots[tied]])], ["a", "b"])
 
 
 def similar(fps: list[bytes], similarity: float):
@@ -259,23 +320,25 @@ def similar(fps: list[bytes], similarity: float):
     return _reached(len(fps), near)
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) among nodes (node, fp of sketch and keys, short: the set if it is small) whose texts (_rid, _text) have sets of shingles of that
-    similarity, decided on the sets themselves; they connect what all such pairs connect.
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, number: int, bits: int) -> DataFrame:
+    """Links (a, b) among nodes (node, fp: the wide fingerprint, short: the set if it is small) whose texts (_rid, _text)
+    have sets of shingles of that similarity, decided on the sets themselves; they connect what all such pairs connect.
 
-    Sets that share a key and much of their sketch are candidates. At a similarity of 0.8 a pair shares none of the
-    keys with probability 3e-6. Candidates that links reach are one group, to which the sets of its texts are sent
+    Fingerprints that share a block (see blocks()) are compared by pivot distance tables, then bit by bit; those within
+    reach() are candidates. Candidates that links reach are one group, to which the sets of its texts are sent
     once; a group over TILE_SETS goes in tiles. Sets of at most SHORT shingles also meet under each shingle of their
     prefix, where they are compared themselves: of these no pair is missed.
     """
 
     def keyed(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), "u1").reshape(b.num_rows, -1)
-            keys = np.ascontiguousarray(x[:, HASHES:]).view("i8")
-            fp = pa.array([r.tobytes() for r in x[:, :HASHES]], pa.binary())
-            for k in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), b.column("node"), fp], ["key", "node", "fp"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = np.frombuffer(b"".join(part.column("fp").to_pylist()), "u1").reshape(part.num_rows, -1)
+                keys = block_keys(x, number, bits)
+                fp = pa.array([r.tobytes() for r in x[:, : 8 * WORDS]], pa.binary())
+                for k in range(number):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), part.column("node"), fp], ["key", "node", "fp"])
 
     def sets(batches):
         for b in batches:
@@ -295,9 +358,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary())], ["key", "node", "fp"])
 
     exact = lambda b: _forest_of(b, lambda x: similar(x, similarity))
-    least = least_equal(similarity)
+    radius = reach(similarity)
     rows = nodes.select("node", "fp").mapInArrow(tidy(keyed), "key long, node long, fp binary")
-    groups = components(_links(rows, lambda b: _forest_of(b, lambda x: _sketch_links(x, least)), TILE_ROWS))
+    groups = components(_links(rows, lambda b: _wide_forest(b, radius), TILE_ROWS))
     asked = texts.join(groups.withColumnRenamed("node", "_rid"), "_rid").select(F.col("component").alias("key"), F.col("_rid").alias("node"), "_text")
     members = checkpointed(asked.mapInArrow(tidy(sets), "key long, node long, fp binary"))
     small = nodes.filter("short is not null").select("node", "short").mapInArrow(tidy(short), "key long, node long, fp binary")
@@ -313,20 +376,21 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rest = tuple(c for c in df.columns if c not in (id_col, text_col))
     rows, _ = with_row_ids(df, id_col, text_col, rest)
+    number, bits = blocks(rows.count(), similarity)
+    words = max(WORDS, -(-number * bits // 64))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 sets = [shingle_set(t, shingle) for t in b.column(1).slice(at, 256).to_pylist()]
                 same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                sketch, keys = sketches(np.array([minima(x) for x in sets]))
-                fp = [x.tobytes() + k.tobytes() for x, k in zip(sketch, keys, strict=True)]
+                fp = [wide_fingerprint(x, words) for x in sets]
                 short = [x.tobytes() if 0 < len(x) <= SHORT else None for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *[pa.array(c, pa.binary()) for c in (same, fp, short)]], ["_rid", "same", "fp", "short"])
 
     fps = checkpointed(rows.select("_rid", "_text").mapInArrow(tidy(run), "_rid long, same binary, fp binary, short binary"))
     nodes = checkpointed(fps.groupBy("same").agg(F.min("_rid").alias("node"), F.first("fp").alias("fp"), F.first("short").alias("short")))
-    roots = components(similar_links(nodes, rows.select("_rid", "_text"), shingle, similarity))
+    roots = components(similar_links(nodes, rows.select("_rid", "_text"), shingle, similarity, number, bits))
     firsts = nodes.select("node").join(roots.filter("component <> node"), "node", "left_anti")
     kept = rows.join(firsts.withColumnRenamed("node", "_rid"), "_rid", "left_semi")
     named = {id_col: F.col("_id"), text_col: F.col("_text")} | {c: F.col("_carry")[c] for c in rest}

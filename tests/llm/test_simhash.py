@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -173,3 +174,59 @@ def test_joins_spread_hot_keys_only(spark, monkeypatch, how):
         out = common.join_small(big, small, "k", F.col("row"), how)
         assert sorted(map(tuple, out.select("k", "row", "x").collect())) == plain
     assert common.join_small(big.limit(0), small, "k", F.col("row"), how).count() == 0
+
+
+def plain_wide(h, words):
+    def word(x, seed):
+        x = (int(x) ^ seed) * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 29) * 0xC2B2AE3D27D4EB4F % 2**64
+        return x ^ x >> 32
+
+    hashes = [sum(word(x, int(s)) << 64 * w for w, s in enumerate(S.pivots(words))) for x in h]
+    return sorted(i for i in range(64 * words) if 2 * sum(x >> i & 1 for x in hashes) > len(h))
+
+
+def test_wide_fingerprints_are_majorities_of_bits():
+    """The pipeline's stage takes SimHash too: bits that over half the shingles set, in some fixed order."""
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, n).astype("u8") for n in (1, 2, 7, 254, 255, 256, 2041, 5000)]
+    got = np.array([np.unpackbits(np.frombuffer(S.wide_fingerprint(h, 5), "u1")) for h in sets])
+    want = np.zeros_like(got)
+    for k, h in enumerate(sets):
+        want[k, plain_wide(h, 5)] = 1
+    assert sorted(map(tuple, got.T.tolist())) == sorted(map(tuple, want.T.tolist()))
+    assert S.wide_fingerprint(np.empty(0, "u8"), 5) == bytes(40)
+
+
+@pytest.mark.parametrize("rows", [200_000, 13_000_000])
+@pytest.mark.parametrize("n", [26, 40, 200])
+def test_pairs_at_the_similarity_share_a_block_and_are_in_reach(n, rows):
+    rng = np.random.default_rng(n)
+    number, bits = S.blocks(rows, 0.8)
+    words = -(-number * bits // 64)
+    for _ in range(200):
+        u = rng.integers(0, 2**63, 2 * n).astype("u8")
+        both = -(-8 * n // 9)  # 0.8 of all that the two sets hold
+        x = np.array([np.frombuffer(S.wide_fingerprint(h, words), "u1") for h in (u[:n], np.concatenate([u[:both], u[n : 2 * n - both]]))])
+        a, b = S.block_keys(x, number, bits)
+        assert (a == b).any() and np.bitwise_count(x[0, : 8 * S.WORDS] ^ x[1, : 8 * S.WORDS]).sum() <= S.reach(0.8)
+
+
+@pytest.mark.parametrize("large", [1, 1000])
+def test_wide_links_like_all_pairs(monkeypatch, large):
+    monkeypatch.setattr(S, "LARGE", large)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, (12, 64 * S.WORDS))
+    fps = np.array([b ^ (rng.random(b.size) < p) for b in base for p in (0, 0.1, 0.2, 0.25, 0.3, 0.35)], "u1")
+    bucket, radius = rng.integers(0, 3, len(fps)), S.reach(0.8)
+    raw = [np.packbits(x).tobytes() for x in fps]
+    t = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.arange(len(fps))), pa.array(raw, pa.binary())], ["bucket", "node", "fp"])
+    roots = {i: i for i in range(len(fps))}
+    for i, j in combinations(range(len(fps)), 2):
+        if bucket[i] == bucket[j] and (fps[i] ^ fps[j]).sum() <= radius and roots[i] != roots[j]:
+            a, b = sorted((roots[i], roots[j]))
+            roots = {k: a if r == b else r for k, r in roots.items()}
+    got = {i: i for i in range(len(fps))}
+    for out in S._wide_forest(iter([t]), radius):
+        got |= dict(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    assert got == roots and 1 < len(set(got.values())) < len(fps)
